@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .minhash import duplicates
 from .packing import pack
 from .wavelet import token_shards
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -20,7 +25,7 @@ def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op6_wavelet_tokens)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op6_wavelet_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
