@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .minhash import duplicates
 from .packing import pack
+from .quality import fit, score
 from .wavelet import token_shards
 
 
@@ -24,8 +25,13 @@ def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op6_wavelet_tokens)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op6_wavelet_tokens, op8_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
