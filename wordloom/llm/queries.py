@@ -11,6 +11,7 @@ from .decontaminate import contaminations
 from .minhash import duplicates
 from .packing import pack
 from .quality import fit, score
+from .secrets import scan
 from .wavelet import token_shards
 
 
@@ -35,8 +36,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op5_benchmark_decontamination, op6_wavelet_tokens, op8_quality_classifier)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op5_benchmark_decontamination, op6_wavelet_tokens, op8_quality_classifier, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
