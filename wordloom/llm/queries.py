@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import langid, urlfilter, warc
 from .common import table
 from .decontaminate import contaminations
 from .minhash import duplicates
@@ -23,6 +24,16 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC files, a torn member before every tenth record, and read back: every page and every gap."""
+    shards = warc.write_pages(table(spark, sf_dir, "pages"), torn=lambda page: page is not None and page % 10 == 3)
+    return warc.read_pages(warc.read_payloads(shards))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,13 +47,22 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op5_benchmark_decontamination, op6_wavelet_tokens, op8_quality_classifier, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_url_filters, op4_warc_salvage, op5_benchmark_decontamination, op6_wavelet_tokens, op8_quality_classifier, op9_language_id, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_url_filters": urlfilter.sql(),
+        "op4_warc_salvage": """SELECT 'record' AS kind, page_id, url, html, CAST(NULL AS BIGINT) AS gap_bytes FROM pages
+UNION ALL SELECT 'gap', NULL, NULL, NULL, 64 FROM pages WHERE page_id % 10 = 3""",
+    }
