@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, urlfilter, warc
+from . import audio, langid, urlfilter, warc
 from .common import table
 from .decontaminate import contaminations
 from .minhash import duplicates
@@ -42,6 +42,11 @@ def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector played as a melody, fingerprinted, and aligned with all others."""
+    return audio.recordings_alike(audio.fingerprints(audio.melodies(table(spark, sf_dir, "embeddings"))))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -57,7 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_url_filters, op4_warc_salvage, op5_benchmark_decontamination, op6_wavelet_tokens, op8_quality_classifier, op9_language_id, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_url_filters, op4_warc_salvage, op5_benchmark_decontamination, op6_wavelet_tokens, op7_audio_fingerprints, op8_quality_classifier, op9_language_id, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
