@@ -69,6 +69,14 @@ def test_stages(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         assert out.dtypes == docs.dtypes
-        empty = docs.limit(0)
-        if stage is not corpus_pipeline.quality:  # there is nothing to learn from no documents
-            assert stage(spark, empty, sf_dir).count() == 0
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_stages_with_nulls_and_clashing_names(spark, sf_dir):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "TEXT", "__key", "c0", "id", "__clean"]
+    rows = [(1, "some words stand here", None, None, None, "x", 1, 2, 3, "y"), (None, None, None, None, None, None, None, None, None, None), (1, "some words stand here", None, None, None, "other", 1, 2, 3, "z"), (4, "", "en", "s", 0, "x", 1, 2, 3, "y")]
+    docs = spark.createDataFrame(rows, ", ".join(f"f{k} {'string' if n in ('text', 'lang', 'source', 'TEXT', '__clean') else 'long'}" for k, n in enumerate(names))).toDF(*names)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == names and out.count() == (2, 3, 4, 4)[k]
+    assert corpus_pipeline.packing(spark, docs.coalesce(1), sf_dir).first().doc_ids == [1, 1]

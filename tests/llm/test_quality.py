@@ -1,6 +1,5 @@
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from wordloom.llm.common import table
 from wordloom.llm.quality import STATISTICS, fit, isotonic, keep_good, score, statistics
@@ -73,8 +72,9 @@ def test_edge_cases(spark):
     kept = keep_good(docs, model)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 1, 5]
     assert score(docs.limit(0), model).count() == 0 and keep_good(docs.limit(0), model).count() == 0
-    with pytest.raises(ValueError):
-        fit(docs, labels.limit(0))
+    nothing = score(docs, fit(docs, labels.limit(0)))
+    assert sorted(r.quality for r in nothing.collect()) == [0, 0, 1, 1, 1, 1, 1]
+    assert keep_good(docs, fit(docs, labels.where("quality = 0"))).count() == 0 and fit(docs.limit(0), labels).chances.tolist() == [1.0]
 
 
 def test_bounded_sample(spark, sf_dir):

@@ -58,10 +58,24 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
         at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def place(df: DataFrame, column: str) -> int:
+    """Where a column is; of names that differ in case only, the one that is spelt the same."""
+    names = df.columns
+    if column in names:
+        return names.index(column)
+    return [n.lower() for n in names].index(column.lower())
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1 and so on, so that no name can clash; ``toDF`` names them as before."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def plain(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names; what else ``df`` has can't clash."""
     kinds = {"id": "bigint", "text": "string"}
-    return df.select(*(F.col(f"`{c}`").cast(kinds[k]).alias(k) if k in kinds else F.col(f"`{c}`").alias(k) for k, c in columns.items()))
+    held = numbered(df)
+    return held.select(*(F.col(f"c{place(df, c)}").cast(kinds[k]).alias(k) if k in kinds else F.col(f"c{place(df, c)}").alias(k) for k, c in columns.items()))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:

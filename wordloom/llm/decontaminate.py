@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, slices
+from .common import numbered, place, plain, slices
 
 SCHEMA = "doc_id bigint, item_id bigint, start bigint, end bigint, words int"
 ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int32())])
@@ -144,4 +144,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     def clean(text: pa.Array) -> pa.Array:
         return pa.array([not search.touches(t) for t in text.to_pylist()], pa.bool_())
 
-    return docs.where(clean(F.col(f"`{text_col}`").cast("string")))
+    return numbered(docs).where(clean(F.col(f"c{place(docs, text_col)}").cast("string"))).toDF(*docs.columns)

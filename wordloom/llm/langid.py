@@ -55,7 +55,7 @@ class Model:
 
     def identify(self, text: str | None) -> tuple[str | None, float]:
         """The likeliest language, and by how many nats a word it leads. Ties go to the first by name; without evidence, null and 0."""
-        if not text:
+        if not text or not self.languages:
             return None, 0.0
         if len(self._place) > KEPT:
             self._clear()
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     The ``max_words`` commonest words and the ``max_grams`` commonest n-grams of 1 to ``longest`` characters (a word's ends are
     blanks) make the model, so its size doesn't grow with the tables. Rows without a language, a null or an empty text don't count.
-    Repeated rows count as often as they occur. Without any, a ValueError says so.
+    Repeated rows count as often as they occur. A model of no rows knows no language, and finds none.
     """
     named = plain(docs, id=id_col, text=text_col, lang=lang_col).where("lang IS NOT NULL AND lang != ''")
     h = F.xxhash64(F.lit(seed), "id")
@@ -118,8 +118,6 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     schema = "key string, lang string, n bigint"
     counted = cut(text.mapInArrow(words, schema).groupBy("key", "lang").agg(F.sum("n").alias("n")))
     languages = sorted(r.lang for r in counted.select("lang").distinct().collect())
-    if not languages:
-        raise ValueError("language identification needs texts with a language")
 
     def top(df: DataFrame, most: int) -> list:
         keys = df.groupBy("key").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "key").limit(most).select("key")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, plain, slices
+from .common import cut, numbered, place, plain, slices
 from .words import mix, split
 
 SIZE, ROWS, SHINGLE, THRESHOLD = 128, 4, 3, 0.5
@@ -252,9 +252,10 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     best = found.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("best"))
     keys = found.groupBy("grp", "row_key").agg(F.count("*").alias("n")).join(best, "grp")
     keys = cut(keys.select(F.col("row_key").alias("__key"), "n", (F.col("row_key") == F.col("best.row_key")).alias("__stays")))
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`").cast("string")))
+    keyed = numbered(docs)
+    keyed = keyed.withColumn("__key", F.xxhash64(F.col(f"c{place(docs, id_col)}").cast("bigint"), F.col(f"c{place(docs, text_col)}").cast("string")))
     out = keyed.join(keys.where("NOT __stays OR n > 1").select("__key").distinct(), "__key", "left_anti")
     repeated = keys.where("__stays AND n > 1").select("__key")
     if not repeated.isEmpty():
         out = out.unionByName(keyed.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
-    return out.drop("__key")
+    return out.drop("__key").toDF(*docs.columns)

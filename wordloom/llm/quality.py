@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, plain, slices
+from .common import cut, numbered, place, plain, slices
 from .words import Words, raw, split
 
 STATISTICS = (
@@ -139,9 +139,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     stand for the kernel exp(-gamma |x - y|^2) of the standardised statistics.
 
     Labels that are null, or have a null id, don't count; an id labelled more than once has the mean. Repeated rows count as often as
-    they occur. Without labels of both kinds there is nothing to learn, and a ValueError says so.
+    they occur. Without labels of both kinds, or without any that fit a document, there is nothing to learn: each text then has the mean
+    label as its quality, 1 if there is none.
     """
-    y = labels.select(F.col(f"`{label_id_col}`").cast("bigint").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y")).dropna().groupBy("id").agg(F.avg("y").alias("y"))
+    y = plain(labels, id=label_id_col, y=label_col).select("id", F.col("y").cast("double")).dropna().groupBy("id").agg(F.avg("y").alias("y"))
     y = y.withColumn("h", F.xxhash64(F.lit(seed), "id"))
     if (n := y.count()) > max_rows:
         y = y.where(F.col("h") < int(max_rows / n * 2.0**64 - 2.0**63))
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     total = sum((np.frombuffer(r.sums).reshape(2, -1) for r in data.mapInArrow(moments, "sums binary").collect()), np.zeros((2, width + 2)))
     rows, good = total[0, -2:]
     if not 0 < good < rows:
-        raise ValueError("the quality classifier needs labelled texts of both kinds")
+        return Model(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(2), np.zeros(1), np.array([good / rows if rows else 1.0]))
     mean = total[0, :width] / rows
     scale = np.sqrt(np.maximum(total[1, :width] / rows - mean**2, 1e-6))
     rng = np.random.default_rng(seed)
@@ -216,4 +217,4 @@ def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", reject_b
     def good(text: pa.Array) -> pa.Array:
         return pa.array(model.probability(text) >= reject_below)
 
-    return docs.where(good(F.col(f"`{text_col}`").cast("string")))
+    return numbered(docs).where(good(F.col(f"c{place(docs, text_col)}").cast("string"))).toDF(*docs.columns)

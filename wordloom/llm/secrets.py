@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, slices
+from .common import numbered, place, plain, slices
 
 SCHEMA = "doc_id bigint, start bigint, end bigint, ratio double"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("ratio", pa.float64())])
@@ -201,12 +201,14 @@ def redact(docs: DataFrame, model: Model | None = None, *, text_col: str = "text
     def clean(text: pa.Array) -> pa.Array:
         return pa.array([model.redact(t, mark) for t in text.to_pylist()], pa.string())
 
-    old = F.col(f"`{text_col}`").cast("string")
-    out = docs.withColumn("__clean", clean(old))
+    at = place(docs, text_col)
+    size = place(docs, size_col) if size_col and size_col.lower() in map(str.lower, docs.columns) else None
+    old = F.col(f"c{at}").cast("string")
+    held = numbered(docs).withColumn("__clean", clean(old))
     columns = [
-        F.col("__clean").alias(c) if c == text_col
-        else F.when(F.col("__clean") != old, F.length("__clean")).otherwise(F.col(f"`{c}`")).cast(kind).alias(c) if c == size_col
-        else F.col(f"`{c}`")
-        for c, kind in docs.dtypes
+        F.col("__clean") if k == at
+        else F.when(F.col("__clean") != old, F.length("__clean")).otherwise(F.col(f"c{k}")).cast(kind) if k == size
+        else F.col(f"c{k}")
+        for k, (_, kind) in enumerate(docs.dtypes)
     ]
-    return out.select(*columns)
+    return held.select(*columns).toDF(*docs.columns)

@@ -92,7 +92,8 @@ class Filters:
 def token_frequency(urls: DataFrame, rules: Iterable[str], *, url_col: str = "url") -> Counter[str]:
     """How many times each token of the rules occurs in all URLs; as many counts as the rules have tokens."""
     wanted = sorted({t for k, text in enumerate(rules) if text for t in parse(k, text).tokens})
-    tokens = urls.select(F.explode(F.regexp_extract_all(F.lower(F.col(f"`{url_col}`").cast("string")), F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
+    held = plain(urls, url=url_col)
+    tokens = held.select(F.explode(F.regexp_extract_all(F.lower(F.col("url").cast("string")), F.lit("[a-z0-9]+"), F.lit(0))).alias("t"))
     return Counter({r.t: r["count"] for r in tokens.where(F.col("t").isin(wanted)).groupBy("t").count().collect()})
 
 
