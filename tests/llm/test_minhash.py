@@ -128,3 +128,19 @@ def test_big_group_and_shared_passage(spark):
     sharing = [(1000 + k, passage + " " + " ".join(rng.choice(WORDS) for _ in range(150))) for k in range(100)]
     got = {r.doc_id: r.group_id for r in duplicates(spark.createDataFrame(copies + sharing, "doc_id long, text string")).collect()}
     assert got == {k: 0 for k in range(400)}
+
+
+def test_pairs_near_the_threshold_are_counted(spark):
+    """Similarities just above and just below one half, where signatures can't tell."""
+    rows, want = [], set()
+    for k in range(40):
+        base = [f"d{k}w{i}" for i in range(122)]  # 120 shingles
+        change = 41 if k % 2 else 39
+        near = base[: 122 - change] + [f"d{k}x{i}" for i in range(change)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+        j = jaccard(shingle_set(rows[-2][1]), shingle_set(rows[-1][1]))
+        assert (j >= 0.5) == (k % 2 == 0) and abs(j - 0.5) < 0.03
+        if j >= 0.5:
+            want |= {2 * k, 2 * k + 1}
+    got = {r.doc_id for r in duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.8 * len(want)

@@ -13,6 +13,8 @@ from .common import cut, numbered, place, plain, slices
 from .words import mix, split
 
 SIZE, ROWS, SHINGLE, THRESHOLD = 128, 4, 3, 0.5
+#: How far from the threshold an estimate decides alone: 2.7 standard errors of 128 lanes at 0.5. Nearer ones are computed exactly.
+MARGIN = 0.12
 _STEP, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint32(0xFFFFFFFF)
 
 
@@ -87,8 +89,8 @@ def _sketch(width: int, size: int):
     return run
 
 
-def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    return (a == b).sum(-1) >= threshold * a.shape[-1]
+def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == b).mean(-1)
 
 
 def _lanes(column: pa.Array) -> np.ndarray:
@@ -98,16 +100,44 @@ def _lanes(column: pa.Array) -> np.ndarray:
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _verify(threshold: float):
+def _verify(sure: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ok = pa.array(_alike(_lanes(batch.column("sig_a")), _lanes(batch.column("sig_b")), threshold))
+                ok = pa.array(_similar(_lanes(batch.column("sig_a")), _lanes(batch.column("sig_b"))) >= sure)
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], schema=_LINK)
 
     return run
 
 
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                elements, at, _ = shingles(part.column("text"), width)
+                order = np.lexsort((elements, at))
+                elements, at = elements[order], at[order]
+                new = np.append(True, (elements[1:] != elements[:-1]) | (at[1:] != at[:-1])) if len(at) else np.zeros(0, bool)
+                ends = np.searchsorted(at[new], np.arange(part.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(elements[new].view(np.int64)))], ["node", "shingles"])
+
+    return run
+
+
+def exact(pairs: DataFrame, source: DataFrame, sketch: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Those of ``pairs`` whose sets of shingles have a Jaccard similarity of ``threshold`` at least, counted in full.
+
+    Texts are read again, and of each node in question one goes on; AQE sends the list of these to all only if it is small.
+    """
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    rows = sketch.join(nodes, "node").groupBy("node").agg(F.min("row_key").alias("row_key"))
+    texts = source.join(rows, "row_key").dropDuplicates(["node"]).select("node", "text")
+    sets = cut(texts.mapInArrow(_sets(width), "node bigint, shingles array<bigint>"))
+    a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(a, "a").join(b, "b").where(both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
 class UnionFind:
     """Sets of numbered members; the least member is the root."""
 
@@ -130,18 +160,27 @@ class UnionFind:
         return x != y
 
 
-def _rest(threshold: float):
-    """Links between what is still apart in a bucket. Rows come sorted by bucket."""
+_MAYBE = pa.schema([*_LINK, ("sure", pa.bool_())])
+
+
+def _rest(sure: float, maybe: float):
+    """Links, sure and possible, between what is still apart in a bucket. Rows come sorted by bucket."""
 
-    def of(nodes: np.ndarray, groups: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int]]:
+    def of(nodes: np.ndarray, groups: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int, bool]]:
         sets = UnionFind()
+        doubt = []
         for k in range(1, len(nodes)):
             for start in range(0, k, 4096):
                 stop = min(k, start + 4096)
-                hits = start + np.flatnonzero((groups[start:stop] != groups[k]) & _alike(sig[start:stop], sig[k], threshold))
-                for h in hits.tolist():
-                    if sets.union(int(groups[h]), int(groups[k])):
-                        yield int(nodes[h]), int(nodes[k])
+                alike = _similar(sig[start:stop], sig[k])
+                for h in np.flatnonzero((groups[start:stop] != groups[k]) & (alike >= maybe)).tolist():
+                    if alike[h] < sure:
+                        doubt.append((start + h, k))
+                    elif sets.union(int(groups[start + h]), int(groups[k])):
+                        yield int(nodes[start + h]), int(nodes[k]), True
+        for h, k in doubt:
+            if sets.find(int(groups[h])) != sets.find(int(groups[k])):
+                yield int(nodes[h]), int(nodes[k]), False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -150,7 +189,7 @@ def _rest(threshold: float):
             t = pa.Table.from_batches(held)
             held.clear()
             links = list(of(t["node"].to_numpy(), t["grp"].to_numpy(), _lanes(t["sig"])))
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=_LINK)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], f.type) for k, f in enumerate(_MAYBE)], schema=_MAYBE)
 
         for batch in batches:
             buckets = batch.column("bucket").to_numpy()
@@ -205,8 +244,8 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row for each row of ``docs``: ``id``, ``row_key``, ``grp``, ``group_id``, ``group_rows``.
 
     Two texts are near copies if the Jaccard similarity of their sets of ``shingle``-word runs, in lower case and without
-    punctuation, is at least ``threshold`` as ``size`` SuperMinHash lanes estimate it (standard error 0.044 at 0.5, less for short texts).
-    Texts that agree on ``rows`` lanes of a band are compared: in each bucket all with one of them, then, where
+    punctuation, is at least ``threshold``. ``size`` SuperMinHash lanes estimate it (standard error 0.044 at 0.5, less for short texts); where
+    the estimate is within ``MARGIN`` of the threshold, the sets themselves are compared. Texts that agree on ``rows`` lanes of a band are compared: in each bucket all with one of them, then, where
     a bucket still holds more than one group, every pair from different groups. Groups are the connected components.
     ``group_id`` is the least id of a group, ``group_rows`` its number of rows.
 
@@ -224,13 +263,20 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     shared = cut(bucket.withColumn("centre", F.min("node").over(stars)).withColumn("n", F.count("*").over(stars)).where("n > 1").drop("n"))
     pairs = shared.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     sig_a, sig_b = (nodes.select(F.col("node").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-    first = cut(pairs.join(sig_b, "b").join(sig_a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_verify(threshold), "a bigint, b bigint"))
+    first = cut(pairs.join(sig_b, "b").join(sig_a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_verify(threshold + MARGIN), "a bigint, b bigint"))
     roots = cut(components(first))
     grouped = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("grp"))
     mixed = grouped.groupBy("bucket").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x != y").select("bucket")
     rest = grouped.join(mixed, "bucket", "left_semi").join(nodes, "node").select("bucket", "node", "grp", "sig")
-    more = rest.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_rest(threshold), "a bigint, b bigint")
-    final = components(first.union(more))
+    ordered = rest.repartition("bucket").sortWithinPartitions("bucket", "node")
+    more = cut(ordered.mapInArrow(_rest(threshold + MARGIN, threshold - MARGIN), "a bigint, b bigint, sure boolean"))
+    sure = cut(components(first.union(more.where("sure").select("a", "b"))))
+    # Of the pairs in doubt only those count that nothing surer has put together.
+    top = lambda df, k: df.join(sure.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
+    doubt = top(top(more.where("NOT sure").select("a", "b").distinct(), "a"), "b").where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b")
+    checked = exact(cut(doubt), source, sketch, threshold, shingle)
+    stars = sure.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    final = components(stars.union(checked))
     out = sketch.select("id", "row_key", "node").join(final, "node", "left").select("id", "row_key", F.coalesce("root", "node").alias("grp"))
     sizes = out.where("grp IS NOT NULL").groupBy("grp").agg(F.min("id").alias("group_id"), F.count("*").alias("group_rows"))
     return out.join(sizes, "grp", "left").select("id", "row_key", "grp", "group_id", F.coalesce("group_rows", F.lit(1)).alias("group_rows"))
