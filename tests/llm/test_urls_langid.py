@@ -1,8 +1,10 @@
+import pickle
 import re
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -63,13 +65,19 @@ def test_word_first_backoff():
     """Scores against a plain reading of the rule."""
     words = {"the": np.log([0.9, 0.1])}
     grams = {" sch": np.log([0.1, 0.9]), "ch": np.log([0.4, 0.6]), "z": np.log([0.2, 0.8])}
-    m = langid.Model(["de", "en"], words, grams, 4)
+    table = lambda d: langid.Frequencies(list(d), np.array(list(d.values())))
+    m = pickle.loads(pickle.dumps(langid.Model(["de", "en"], table(words), table(grams), 4)))
     assert (m.word("the") == words["the"]).all()
     assert np.allclose(m.word("schach"), grams[" sch"])  # a longer n-gram is known, so the shorter don't count
     assert np.allclose(m.word("ich"), grams["ch"]) and np.allclose(m.word("zz"), grams["z"]) and not m.word("oo").any()
     assert m.identify("the the Zz")[0] == "de" and m.identify("12 --") == (None, 0.0) and m.identify("oo") == (None, 0.0)
 
 
+def test_frequencies():
+    f = langid.frequencies(pa.table({"key": ["x", "x", "y"], "lang": ["a", "b", "b"], "n": [3, 1, 4]}), ["a", "b"])
+    assert f.place == {"x": 0, "y": 1} and np.allclose(np.exp(f.table), [[3 / 3.5, 1 / 5], [0.5 / 3.5, 4 / 5]])
+
+
 def test_language_accuracy_held_out(spark, sf_dir):
     docs = table(spark, sf_dir.replace("0.001", "0.01"), "documents")
     model = langid.fit(docs.where("doc_id % 2 = 0"))
@@ -86,9 +94,9 @@ def test_language_edge_cases(spark):
     assert sorted([(r.doc_id, r.language) for r in got.collect()], key=str) == sorted([(1, "en"), (2, "de"), (2, "de"), (3, None), (4, None), (None, "de"), (5, None), (6, "en")], key=str)
     assert langid.identify(docs.limit(0), model).count() == 0
     assert langid.identify(docs, langid.fit(docs.limit(0))).where("language IS NULL").count() == 8
-    tie = langid.Model(["a", "b"], {"x": np.log([0.5, 0.5])}, {}, 3)
+    tie = langid.Model(["a", "b"], langid.Frequencies(["x"], np.log([[0.5, 0.5]])), langid.Frequencies([], np.zeros((0, 2))), 3)
     assert tie.identify("x") == ("a", 0.0)
-    assert len(langid.fit(docs, max_words=2, max_grams=3).words) == 2
+    assert len(langid.fit(docs, max_words=2, max_grams=3).words.place) == 2
 
 
 def test_language_query_has_every_row(spark, sf_dir):

@@ -18,10 +18,25 @@ _WORD = re.compile(r"[^\W\d_]+")
 KEPT = 400_000
 
 
+class Frequencies:
+    """Keys and, as rows of ``table``, their log frequencies in each language; ``place`` says which row is whose."""
+
+    def __init__(self, keys: list[str], table: np.ndarray) -> None:
+        self.place = {k: i for i, k in enumerate(keys)}
+        self.table = table
+
+    def __getstate__(self):
+        return "\n".join(self.place), len(self.place), self.table
+
+    def __setstate__(self, state):
+        keys, n, table = state
+        self.__init__(keys.split("\n") if n else [], table)
+
+
 class Model:
-    """``words`` and ``grams``: log frequencies in each of ``languages``, as rows."""
+    """Log frequencies of words and of n-grams in each of ``languages``."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], longest: int) -> None:
+    def __init__(self, languages: list[str], words: Frequencies, grams: Frequencies, longest: int) -> None:
         self.languages, self.words, self.grams, self.longest = languages, words, grams, longest
         self._clear()
 
@@ -37,13 +52,12 @@ class Model:
 
     def word(self, word: str) -> np.ndarray:
         """A known word's log frequencies; else the mean of those of its longest known n-grams; else zeros."""
-        if (row := self.words.get(word)) is not None:
-            return row
-        padded = f" {word} "
+        if (k := self.words.place.get(word)) is not None:
+            return self.words.table[k]
+        padded, place = f" {word} ", self.grams.place
         for n in range(self.longest, 0, -1):
-            found = [row for k in range(len(padded) - n + 1) if (row := self.grams.get(padded[k : k + n])) is not None]
-            if found:
-                return np.mean(found, 0)
+            if found := [k for i in range(len(padded) - n + 1) if (k := place.get(padded[i : i + n])) is not None]:
+                return self.grams.table[found].mean(0)
         return np.zeros(len(self.languages))
 
     def _add(self, word: str) -> int:
@@ -73,14 +87,14 @@ class Model:
         return self.languages[best], float(scores[best] - rest.max()) if len(rest) else 0.0
 
 
-def _table(rows: list, languages: list[str]) -> dict[str, np.ndarray]:
-    """Log frequency of each key; in a language without it, that of half an occurrence."""
+def frequencies(counts: pa.Table, languages: list[str]) -> Frequencies:
+    """From rows of key, lang and n. A key that a language lacks counts there as half an occurrence."""
+    keys = counts["key"].combine_chunks().dictionary_encode() if counts.num_rows else pa.array([], pa.string()).dictionary_encode()
+    keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    table = np.full((len(keys.dictionary), len(languages)), 0.5)
     place = {lang: k for k, lang in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
-    for key, lang, n in rows:
-        counts.setdefault(key, np.full(len(languages), 0.5))[place[lang]] = n
-    total = np.sum(list(counts.values()), 0) if counts else 1
-    return {key: np.log(c / total) for key, c in counts.items()}
+    table[keys.indices.to_numpy(zero_copy_only=False), [place[x] for x in counts["lang"].to_pylist()]] = counts["n"].to_numpy()
+    return Frequencies(keys.dictionary.to_pylist(), np.log(table / table.sum(0)) if len(table) else table)
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 20_000, max_words: int = 150_000, max_grams: int = 150_000, longest: int = 5, seed: int = 3) -> Model:
@@ -119,12 +133,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     counted = cut(text.mapInArrow(words, schema).groupBy("key", "lang").agg(F.sum("n").alias("n")))
     languages = sorted(r.lang for r in counted.select("lang").distinct().collect())
 
-    def top(df: DataFrame, most: int) -> list:
+    def top(df: DataFrame, most: int) -> Frequencies:
         keys = df.groupBy("key").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "key").limit(most).select("key")
-        return df.join(keys, "key", "left_semi").select("key", "lang", "n").collect()
+        return frequencies(df.join(keys, "key", "left_semi").select("key", "lang", "n").orderBy("key", "lang").toArrow(), languages)
 
     spelt = counted.mapInArrow(grams, schema).groupBy("key", "lang").agg(F.sum("n").alias("n"))
-    return Model(languages, _table(top(counted, max_words), languages), _table(top(cut(spelt), max_grams), languages), longest)
+    return Model(languages, top(counted, max_words), top(cut(spelt), max_grams), longest)
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
