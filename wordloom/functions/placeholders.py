@@ -12,12 +12,12 @@ PATTERNS = (
     r"\{\{[^}]+\}\}",
     r"\$t\([^)]+\)",
     r"%\{[^}]+\}",
-    r"%[0-9]+\$(?:@|l{1,2}[du]|[sdfx])",
-    r"%l{1,2}[du]",
+    r"%\d+[$](?:@|[dfsx]|ll?[du])",
+    r"%ll?[du]",
     r"%@",
-    r"%\.[0-9]+f",
+    r"%[.]\d+f",
     r"%[sdfx]",
-    r"\{[A-Za-z0-9_.]+\}",
+    r"\{[\w.]+\}",
 )
 
 

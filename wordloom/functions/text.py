@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space of Unicode, line ends and the byte order mark.
 SPACE = r"[\s\x{FEFF}\p{Z}]"
-LOCALE = r"^[a-z]{2,3}(?:-[A-Za-z0-9]{2,8})*\z"
+LOCALE = r"\A[a-z]{2,3}(-[0-9A-Za-z]{2,8})*\z"
 LANGUAGES = {
     "en": "English", "es": "Spanish", "fr": "French", "de": "German", "it": "Italian", "pt": "Portuguese", "pt-BR": "Brazilian Portuguese", "nl": "Dutch", "ja": "Japanese",
     "ko": "Korean", "zh": "Chinese", "zh-CN": "Simplified Chinese", "zh-TW": "Traditional Chinese", "ru": "Russian", "ar": "Arabic", "hi": "Hindi", "tr": "Turkish", "pl": "Polish",

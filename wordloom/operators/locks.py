@@ -9,7 +9,7 @@ from ..functions.text import is_ignored, short_hash
 from ..schema import FINDING_COLUMNS
 
 CLOBBERED = "this translation was locked as hand-edited and has since changed"
-STALE = "the source changed after this translation was locked — the manual edit may be out of date"
+STALE = " — ".join(("the source changed after this translation was locked", "the manual edit may be out of date"))
 
 
 def new_locks(pairs: DataFrame, *, keys: str | list[str] | None = None, langs: list[str] | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---------------------------------------------------------------- the same for DuckDB
+# The same for DuckDB
 
 _SP = r"[\s\x{FEFF}\p{Z}]"
 
@@ -126,7 +126,7 @@ def _of(kind: str, columns: str = "lang, ns, path, severity, message") -> str:
     return f"SELECT {columns} FROM {_FINDINGS} f WHERE type = '{kind}'"
 
 
-# ---------------------------------------------------------------- inputs
+# Inputs
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ def _spaces(spark: SparkSession, sf_dir: str, findings: DataFrame | None = None)
     return stats.namespace_stats(counts, findings if findings is not None else _findings(spark, sf_dir))
 
 
-# ---------------------------------------------------------------- coverage and checks
+# Queries: coverage and checks
 
 
 @query(f"SELECT * FROM {_lang_stats(_FINDINGS)} s")
@@ -203,7 +203,7 @@ def verdict_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("failures", F.array_join("failures", "; "))
 
 
-# ---------------------------------------------------------------- placeholders and text
+# Queries: placeholders and text
 
 
 @query(f"SELECT ns, path, array_to_string(found, ' ') AS found FROM {_found(duck('source'), 'value', 'found')} s")
@@ -233,7 +233,7 @@ def language_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(code).groupBy("code", language_name("code").alias("name")).agg(F.count("*").alias("n"))
 
 
-# ---------------------------------------------------------------- glossary and locks
+# Queries: glossary and locks
 
 
 def _glossary(spark: SparkSession, sf_dir: str, dnt: bool) -> DataFrame:
@@ -302,7 +302,7 @@ def full_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("type").agg(F.count("*").alias("n"))
 
 
-# ---------------------------------------------------------------- semantic review
+# Queries: semantic review
 
 _HASH = "left(sha256('[' || to_json({}) || ',' || to_json({}) || ',\"en\",' || to_json({}) || ',\"default\",null]'), 32)"
 _HASHED = f"(SELECT *, {_HASH.format('source', 'translation', 'lang')} AS pair_hash FROM {_TEXTS} p)"
@@ -379,7 +379,7 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.metrics(found, load(spark, sf_dir, "gold"))
 
 
-# ---------------------------------------------------------------- translation
+# Queries: translation
 
 _WORK = f"""(SELECT s.lang, s.ns, s.path, s.value, s.vtype, CASE WHEN s.vtype <> 'string' THEN 'pass' WHEN t.value IS NOT NULL AND NOT (t.vtype = 'string' AND t.value = '') THEN 'reuse' ELSE 'translate' END AS action, t.value AS old
 FROM (SELECT * FROM {duck("source")} a CROSS JOIN {duck("langs")} b) s LEFT JOIN {duck("target")} t ON s.lang = t.lang AND s.ns = t.ns AND s.path = t.path)"""
@@ -469,7 +469,7 @@ def verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work.verify(load(spark, sf_dir, "source"), load(spark, sf_dir, "target"), load(spark, sf_dir, "langs")).select("lang", "ns", "path", "type")
 
 
-# ---------------------------------------------------------------- sources
+# Queries: sources
 
 _LINES = "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag) - 1 AS i FROM lineitem"
 
@@ -517,7 +517,7 @@ def files_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing_files(_layout(spark, sf_dir)).select("lang", "ns", "message")
 
 
-# ---------------------------------------------------------------- reports and tools
+# Queries: reports and tools
 
 
 @query(f"""SELECT s.lang, round(s.coverage * 100, 1) AS coverage, coalesce(array_to_string(list_sort(list(ns || ':' || path) FILTER (WHERE type = 'missing-key')), ','), '') AS missing, coalesce(array_to_string(list_sort(list(ns || ':' || path) FILTER (WHERE type = 'orphan-key')), ','), '') AS orphaned,

@@ -99,7 +99,7 @@ def junit_cases(namespaces: DataFrame, findings: DataFrame) -> DataFrame:
 def junit_report(result: Result) -> str:
     suites = junit_cases(result.namespaces, result.findings).groupBy("lang").agg(F.count("*").alias("tests"), F.count_if("failed").alias("failures"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ns", "xml"))), lambda x: x["xml"]), "\n").alias("cases"))
     rows = suites.withColumn("name", xml_escape("lang")).orderBy("lang").collect()
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', f'<testsuites name="{TOOL}" tests="{sum(r.tests for r in rows)}" failures="{sum(r.failures for r in rows)}">']
+    out = ["<?xml version='1.0' encoding='UTF-8'?>", f'<testsuites name="{TOOL}" tests="{sum(r.tests for r in rows)}" failures="{sum(r.failures for r in rows)}">']
     out += [f'  <testsuite name="{r.name}" tests="{r.tests}" failures="{r.failures}">\n{r.cases}\n  </testsuite>' for r in rows]
     return "\n".join([*out, "</testsuites>", ""])
 
