@@ -6,9 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = at.get() if at.isDefined() else None
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="wordloom-")
         atexit.register(shutil.rmtree, named, True)
@@ -45,17 +43,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def written(df: DataFrame) -> Iterator[DataFrame]:
-    """``df`` as a Parquet table in the shared folder, removed at the end of the block."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    try:
-        yield spark.read.schema(df.schema).parquet(path)
-    finally:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def place(df: DataFrame, column: str) -> int:
