@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wordloom.llm.common import shared_dir, table
+from wordloom.llm.common import remove, shared_dir, table
 from wordloom.llm.decontaminate import drop_contaminated
 from wordloom.llm.minhash import keep_one
 from wordloom.llm.packing import pack
@@ -47,11 +47,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's result is written to the shared folder and read again by the next."""
+    """The last stage's rows. Each stage's result is written to the shared folder and read again by the next, which then replaces it."""
     docs = table(spark, sf_dir, "documents")
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(path := os.path.join(root, str(k)))
         docs = spark.read.schema(out.schema).parquet(path)
+        if k:
+            remove(spark, os.path.join(root, str(k - 1)))
     return STAGES[-1][1](spark, docs, sf_dir)
