@@ -59,6 +59,16 @@ def pair_hash(source, translation, source_lang, lang, model=None, glossary=None)
     return short_hash(F.concat(F.lit("["), F.concat_ws(",", *inner, last), F.lit("]")), 32)
 
 
+def content_key(content: str | Column, targets: list[str]) -> Column:
+    """What a finished translation of a file is kept under: MD5 of its text and the languages asked for."""
+    return F.md5(F.concat(col(content), F.lit(",".join(targets))))
+
+
+def is_substantive(source: str | Column, translation: str | Column) -> Column:
+    """Four words or more, and not the same in both."""
+    return (F.size(F.split(col(source), r"\s+")) >= 4) & (col(source) != col(translation))
+
+
 def language_name(code: str | Column) -> Column:
     """Its English name, or that of what stands before the hyphen, or the code."""
     names = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])

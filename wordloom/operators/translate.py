@@ -44,10 +44,11 @@ def parse_strings(text: str | None, n: int) -> list[str]:
     return [str(x) for x in held]
 
 
-def translate(work: DataFrame, translator: Callable[[list[str], str], list[str]], *, batch: int = 40) -> DataFrame:
+def translate(work: DataFrame, translator: Callable[[list[str], str], list[str]], *, batch: int = 40, isolate: bool = False) -> DataFrame:
     """``work`` with ``result`` filled where the action is translate: ``translator(texts, lang)`` gives as many texts, in order.
 
-    Only rows to translate reach Python, in batches of ``batch`` of one language.
+    Only rows to translate reach Python, in batches of ``batch`` of one language. With ``isolate`` a batch that fails has null
+    results, for a fallback to fill, and the others go on.
     """
     names = [f.name for f in work.schema.fields]
     types = ", ".join(f"`{n}` {t}" for n, t in work.dtypes)
@@ -56,9 +57,14 @@ def translate(work: DataFrame, translator: Callable[[list[str], str], list[str]]
         held: dict[str, list[dict]] = {}
 
         def ask(lang: str, rows: list[dict]) -> pa.RecordBatch:
-            out = translator([r["value"] for r in rows], lang)
-            if len(out) != len(rows):
-                raise ValueError("the translator gave another number of texts")
+            try:
+                out = translator([r["value"] for r in rows], lang)
+                if len(out) != len(rows):
+                    raise ValueError("the translator gave another number of texts")
+            except Exception:
+                if not isolate:
+                    raise
+                out = [None] * len(rows)
             return pa.RecordBatch.from_pylist([r | {"result": t} for r, t in zip(rows, out, strict=True)], pa.schema([(n, pa.string()) for n in names]))
 
         for b in batches:
