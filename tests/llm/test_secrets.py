@@ -69,3 +69,26 @@ def test_random_words_stay(model):
     rng = random.Random(4)
     text = " ".join("".join(rng.choice(("the", "ing", "er", "tion", "sch", "keit", "eau")) for _ in range(7)) for _ in range(2000))
     assert len(model.find(text)) < 5
+
+
+def test_keys_inside_paths_and_names(spark, model):
+    """A key is found whole behind, before and between ordinary words, however many; without a key nothing is."""
+    from wordloom.llm.secrets import _NOUNS
+
+    rng = random.Random(8)
+    found = []
+    for k in range(600):
+        sep = "/-_"[k % 3]
+        key = "".join(rng.choices(_ALPHABET[:62] if k % 2 else "0123456789abcdef", k=rng.choice((20, 32, 40))))
+        front, back = (sep.join(rng.choices(_NOUNS, k=rng.randint(5, 12))) for _ in range(2))
+        text = (f"{front}{sep}{key}", f"{key}{sep}{back}", f"{front}{sep}{key}{sep}{back}")[k // 3 % 3]
+        at = text.index(key)
+        found.append(any(a <= at and b >= at + len(key) for a, b, _ in model.find(text)))
+        assert not model.find(f"{front}{sep}{back}")
+    assert sum(found) >= 0.98 * len(found)
+    path = "/account/service/deployment/database/password/"
+    two = f"{path}{KEY}{path}{path}{KEY}{path}"
+    assert [two[a:b] for a, b, _ in model.find(two)] == [KEY, KEY]
+    docs = spark.createDataFrame([(1, f"x {path}{KEY}", 9)], "doc_id long, text string, n_chars long")
+    assert [(r.start, r.end) for r in scan(docs, model).collect()] == [(2 + len(path), 2 + len(path) + len(KEY))]
+    assert redact(docs, model).first().text == f"x {path}[SECRET]"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 import random
 import re
 from collections.abc import Iterable, Iterator
@@ -17,8 +18,11 @@ from .common import numbered, place, plain, slices
 
 SCHEMA = "doc_id bigint, start bigint, end bigint, ratio double"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("ratio", pa.float64())])
-#: What can be one secret: a run of these, whole.
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}")
+#: A secret's fewest characters, and the runs that can hold one: whole, or as a stretch of a path or a name.
+LEAST = 16
+TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{{{LEAST},}}={{0,2}}")
+#: What parts the words of a path or a name.
+_PARTS = "/_-"
 _LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 _INDEX = np.full(256, len(_ALPHABET), np.int64)
@@ -70,19 +74,51 @@ class Model(NamedTuple):
     threshold: float
     doubt: float
 
-    def ratio(self, token: str) -> float:
+    def ratios(self, token: str) -> np.ndarray:
+        """The share of each character in the ratio of the whole."""
         x = _INDEX[np.frombuffer(token.encode("ascii", "replace"), np.uint8)]
         y = np.concatenate(([_SIZE - 1, _SIZE - 1], x))
-        return float(self.table[y[:-2], y[1:-1], y[2:]].sum())
+        return self.table[y[:-2], y[1:-1], y[2:]]
+
+    def ratio(self, token: str) -> float:
+        return float(self.ratios(token).sum())
+
+    def _secret(self, token: str, ratio: float) -> bool:
+        return bool(_LETTER.search(token)) and ratio >= self.threshold + self.doubt * (not _DIGIT.search(token))
+
+    def stretches(self, token: str) -> list[tuple[int, int, float]]:
+        """Start, end and ratio of each secret of a run: the run itself or, where other characters outweigh it, its best stretches.
+
+        The best stretch is the one of ``LEAST`` characters or more with the largest sum; what lies before and after it is searched
+        in the same way. As the best of so many, it has to reach the logarithm of the run's length more. It is then widened to the next
+        separators, since the ends of a key may read as ordinary.
+        """
+        each = self.ratios(token).astype(float)
+        if self._secret(token, whole := float(each.sum())):
+            return [(0, len(token), whole)]
+        run = np.concatenate(([0.0], np.cumsum(each)))
+        more = math.log(len(token))
+        out, todo = [], [(0, len(token))]
+        while todo:
+            low, high = todo.pop()
+            if high - low < LEAST:
+                continue
+            lowest = np.minimum.accumulate(run[low : high - LEAST + 1])
+            gain = run[low + LEAST : high + 1] - lowest
+            if gain.max() < self.threshold + more:
+                continue
+            stop = low + LEAST + int(gain.argmax())
+            start = low + int(run[low : stop - LEAST + 1].argmin())
+            if self._secret(token[start:stop], float(run[stop] - run[start]) - more):
+                start = max([low, *(token.rfind(c, low, start) + 1 for c in _PARTS)])
+                stop = min([high, *(k for c in _PARTS if (k := token.find(c, stop, high)) >= 0)])
+                out.append((start, stop, float(run[stop] - run[start])))
+            todo += [(low, start), (stop, high)]
+        return sorted(out)
 
     def find(self, text: str | None) -> list[tuple[int, int, float]]:
         """Start, end and ratio of each secret of a text, in order."""
-        out = []
-        for m in TOKEN.finditer(text or ""):
-            token = m.group()
-            if _LETTER.search(token) and (r := self.ratio(token)) >= self.threshold + self.doubt * (not _DIGIT.search(token)):
-                out.append((m.start(), m.end(), r))
-        return out
+        return [(m.start() + a, m.start() + b, r) for m in TOKEN.finditer(text or "") for a, b, r in self.stretches(m.group())]
 
     def redact(self, text: str | None, mark: str) -> str | None:
         if not text or not (found := self.find(text)):
@@ -164,7 +200,7 @@ def train(samples: Iterable[tuple[str, bool]] | None = None, *, weight: float =
     """Models of the true and the false samples (by default ``labelled()``), as one table of differences.
 
     A token is a secret if its ratio is at least ``threshold``: that many nats, so e**8 to one. One without a digit may be
-    a word of a language that the samples don't hold, and has to reach ``doubt`` more.
+    a word of a language that the samples don't hold, and has to reach ``doubt`` more. A stretch of a longer run: see ``Model.stretches``.
     """
     random_, ordinary = [], []
     for text, secret in labelled() if samples is None else samples:
@@ -176,7 +212,7 @@ def train(samples: Iterable[tuple[str, bool]] | None = None, *, weight: float =
 
 
 def scan(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``start``, ``end`` and ``ratio`` of every secret: a run of 16 or more key characters that reads as random.
+    """``doc_id``, ``start``, ``end`` and ``ratio`` of every secret: a run of 16 or more key characters that reads as random, or such a stretch of a longer run.
 
     The secret itself is not repeated in the result. Each text is read once, whole; nothing is shuffled. Runs without a letter, such as card
     and telephone numbers, are none. Null and empty texts hold none. A null id stays null; repeated rows have theirs as often as they occur.
