@@ -109,3 +109,42 @@ def test_edge_cases(spark, tmp_path):
     assert write_pages(pages.limit(0)).count() == 0 and read_payloads(shards.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, bytearray(record(1))), ("n", None), ("e", bytearray())], "source string, payload binary")
     assert [(r.source, r.uri) for r in read_payloads(odd).collect()] == [(None, "http://a.org/1")]
+
+
+def uris(data, **how):
+    found = list(salvage(Bytes(data), **how))
+    assert [f.offset for f in found] == [sum(f.length for f in found[:k]) for k in range(len(found))] and sum(f.length for f in found) == len(data)
+    return [f.headers["warc-target-uri"].rsplit("/", 1)[1] if f.reason is None else None for f in found]
+
+
+def test_one_member_for_all_records():
+    """Damage inside a member costs the records that it touches; a torn end, what comes after it."""
+    rng = random.Random(5)
+    parts = [record(k, False, rng.randbytes(rng.choice((9, 3000, 200_000)))) for k in range(30)]
+    names = [str(k) for k in range(30)]
+    whole = gzip.compress(b"".join(parts), 1)
+    assert uris(whole) == names and uris(record(97) + whole + record(98, False)) == ["97", *names, "98"]
+    bad = bytearray(parts[11])
+    bad[-6] ^= 1
+    some = gzip.compress(b"".join([b"junk", *parts[:11], bytes(bad), *parts[12:]]))
+    assert uris(some + record(99)) == [None, *names[:11], None, *names[12:], "99"]
+    for stop in (len(whole) // 3, len(whole) - 4, len(whole) - 9):
+        got = uris(whole[:stop] + record(99))
+        assert got[-2:] == [None, "99"] and got[:-2] == names[: len(got) - 2] and len(got) > 5
+        assert [k for k in uris(whole[:stop]) if k] == got[:-2]  # no byte may be left for a gap
+    flat = bytearray(whole)
+    flat[len(flat) // 2] ^= 0x55
+    got = [k for k in uris(bytes(flat)) if k]
+    assert got == [k for k in names if k in got] and len(got) > 8
+    plain = b"".join(p.replace(b"WARC-Block-Digest", b"X-Digest") for p in parts)
+    assert uris(gzip.compress(plain)) == names
+    wrong = bytearray(gzip.compress(plain))
+    wrong[-6] ^= 1
+    assert uris(bytes(wrong)) == [None]
+
+
+def test_no_cap_on_size():
+    """Members and plain records that inflate to more than 256 MB."""
+    big = [record(k, False, bytes(64 << 20)) for k in range(5)]
+    assert uris(gzip.compress(b"".join(big), 1)) == ["0", "1", "2", "3", "4"]
+    assert uris(record(97, False, bytes(257 << 20)) + record(98)) == ["97", "98"]

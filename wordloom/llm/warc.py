@@ -19,6 +19,9 @@ from .common import plain
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 #: Bytes read at once, and the longest header block of a record.
 CHUNK, HEAD = 1 << 20, 1 << 16
+#: Bytes inflated at once; a body longer than ``HELD`` is checked before it is held in memory; a binary value of Spark has at most ``LARGEST``.
+BLOCK, HELD, LARGEST = 1 << 16, 1 << 26, (1 << 31) - 64
+CUT, BAD = "cut short", "bad gzip member"
 SCHEMA = "source string, kind string, offset bigint, length bigint, reason string, record_type string, uri string, headers map<string,string>, body binary"
 ARROW = pa.schema([("source", pa.string()), ("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("reason", pa.string()), ("record_type", pa.string()), ("uri", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
 
@@ -89,36 +92,173 @@ def _record(read: Callable[[int, int], bytes], offset: int, most: int) -> tuple[
         raise Damage("no content length")
     if (n := int(size)) > most:
         raise Damage("record too long")
-    body = read(offset + stop + 4, n + 4)
-    if len(body) < n + 4:
-        raise Damage("cut short")
-    if body[n:] != b"\r\n\r\n":
+    begin, body, sha1 = offset + stop + 4, None, hashlib.sha1()
+    if n <= HELD:
+        body = read(begin, n)
+        sha1.update(body)
+        short = len(body) < n
+    else:
+        at = begin
+        while at < begin + n and (part := read(at, min(CHUNK, begin + n - at))):
+            sha1.update(part)
+            at += len(part)
+        short = at < begin + n
+    end = b"" if short else read(begin + n, 4)
+    if len(end) < 4:
+        raise Damage(CUT)
+    if end != b"\r\n\r\n":
         raise Damage("content length is wrong")
-    body = body[:n]
-    kind, _, value = headers.get("warc-block-digest", "").partition(":")
-    if kind.lower() == "sha1":
-        want = hashlib.sha1(body).digest()
+    if value := _sha1(headers):
+        want = sha1.digest()
         if value.upper().rstrip("=") != base64.b32encode(want).decode() and value.lower() != want.hex():
             raise Damage("digest differs")
-    return headers, body, offset + stop + 8 + n
+    return headers, read(begin, n) if body is None else body, begin + n + 4
+
+
+def _sha1(headers: dict[str, str]) -> str | None:
+    kind, _, value = headers.get("warc-block-digest", "").partition(":")
+    return value if kind.lower() == "sha1" else None
+
+
+class Member:
+    """The inflated content of the gzip member at ``offset``, read in blocks.
+
+    ``read`` may go back as far as the block that ``mark`` was called in. Where nothing more comes, ``fault`` says what is wrong, or
+    is null, and ``end`` is where the member ends.
+    """
 
+    def __init__(self, source, offset: int) -> None:
+        self._source, self._offset, self._sound = source, offset, None
+        self._mark = (zlib.decompressobj(31), offset, b"", 0)
+        self._back()
+
+    def _back(self) -> None:
+        z, self._at, self._left, self._start = self._before = self._mark
+        self._z, self._data, self.fault, self.end = z.copy(), b"", None, None
+
+    def _more(self) -> bool:
+        if not self._left:
+            self._left = self._source.read(self._at, CHUNK if self._at > self._offset else 1 << 14)
+            self._at += len(self._left)
+        return bool(self._left)
+
+    def _pull(self) -> bool:
+        """Take the next block."""
+        self._start += len(self._data)
+        self._data, parts, n = b"", [], 0
+        if self.fault or self._z.eof:
+            return False
+        self._before = (self._z.copy(), self._at, self._left, self._start)
+        while n < BLOCK and not self._z.eof and not self.fault:
+            ended, spare = not self._more(), self._z.copy()
+            try:
+                parts.append(self._z.decompress(self._left, BLOCK - n))
+                self._left = self._z.unconsumed_tail
+                if ended and not parts[-1] and not self._z.eof:
+                    self.fault = CUT
+            except zlib.error:
+                parts += self._creep(spare)
+                self.fault = BAD
+            n += len(parts[-1]) if parts else 0
+        if self._z.eof:
+            self.end = self._at - len(self._z.unused_data)
+        self._data = b"".join(parts)
+        return bool(self._data)
+
+    def _creep(self, z) -> list[bytes]:
+        """What comes before the byte that can't be inflated."""
+        parts = []
+        for step in (256, 1):
+            while self._left:
+                spare = z.copy()
+                try:
+                    parts.append(z.decompress(self._left[:step]))
+                except zlib.error:
+                    z = spare
+                    break
+                self._left = self._left[step:]
+        return parts
 
-def _member(source, offset: int, most: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``offset``, with its check sum verified."""
-    z, parts, at, total = zlib.decompressobj(31), [], offset, 0
-    while not z.eof:
-        if not (chunk := source.read(at, CHUNK if at > offset else 1 << 14)):
-            raise Damage("cut short")
-        at += len(chunk)
-        while chunk and not z.eof:
+    def read(self, offset: int, n: int) -> bytes:
+        if offset < self._start:
+            self._back()
+        parts = []
+        while n > 0:
+            if offset >= self._start + len(self._data):
+                if not self._pull():
+                    break
+                continue
+            parts.append(self._data[offset - self._start : offset - self._start + n])
+            offset, n = offset + len(parts[-1]), n - len(parts[-1])
+        return b"".join(parts)
+
+    def mark(self) -> None:
+        self._mark = self._before
+
+    def place(self, offset: int) -> int:
+        """How far the file has been read when ``offset`` bytes, an end within the present block, are out."""
+        z, at, left, start = self._before
+        z, need = z.copy(), offset - start
+        while need > 0:
+            if not left:
+                if not (left := self._source.read(at, 1 << 14)):
+                    break
+                at += len(left)
             try:
-                parts.append(z.decompress(chunk, 1 << 24))
-            except zlib.error as e:
-                raise Damage("bad gzip member") from e
-            if (total := total + len(parts[-1])) > most + HEAD:
-                raise Damage("record too long")
-            chunk = z.unconsumed_tail
-    return b"".join(parts), at - len(z.unused_data)
+                need -= len(z.decompress(left, need))
+            except zlib.error:
+                break
+            left = z.unconsumed_tail
+        return at - len(left)
+
+    def find(self, offset: int) -> int:
+        """Where the next version line may begin, at ``offset`` or after; the end if there is none."""
+        while self.read(offset, 1):
+            self.mark()
+            data = self.read(offset, CHUNK)
+            if (k := data.find(VERSION)) >= 0:
+                return offset + k
+            offset += max(len(data) - len(VERSION) + 1, 1)
+        return offset
+
+    def sound(self) -> bool:
+        """Whether the whole member inflates to what its check sum says, as far as it goes: a torn end is no contradiction."""
+        if self._sound is None:
+            other = Member(self._source, self._offset)
+            while other._pull():
+                pass
+            self._sound = other.fault != BAD
+        return self._sound
+
+
+def _member(source, offset: int, most: int) -> Iterator[Found]:
+    """Records and gaps of the gzip member at ``offset``; returns where to go on, and what is wrong there. Without a sound record it raises ``Damage``."""
+    inner, at, place, gap, found = Member(source, offset), offset, 0, None, False
+    while inner.read(place, 1):
+        inner.mark()
+        begin = at if gap is None else max(at, inner.place(place))
+        try:
+            headers, body, stop = _record(inner.read, place, most)
+            if not _sha1(headers) and not inner.sound():
+                raise Damage(BAD)
+        except Damage as e:
+            gap = gap or str(e)
+            place = inner.find(place + 1)
+            continue
+        if not inner.read(stop, 1) and inner.fault == BAD and not found and gap is None:
+            raise Damage(BAD)
+        end = max(begin, inner.place(stop)) if inner.end is None or inner.read(stop, 1) else inner.end
+        if gap is not None:
+            yield Found(at, begin - at, gap, {}, b"")
+        yield Found(begin, end - begin, None, headers, body)
+        at, place, gap, found = end, stop, None, True
+    if not found:
+        raise Damage(inner.fault or gap or "empty member")
+    if inner.fault:
+        return at, inner.fault
+    if gap is not None:
+        yield Found(at, inner.end - at, gap, {}, b"")
+    return inner.end, None
 
 
 def _next(source, offset: int) -> int:
@@ -133,12 +273,16 @@ def _next(source, offset: int) -> int:
     return source.size
 
 
-def salvage(source, *, max_record: int = 256 << 20) -> Iterator[Found]:
+def salvage(source, *, max_record: int = LARGEST) -> Iterator[Found]:
     """All valid records of a file, in order, and a gap for each run of bytes that belongs to none.
 
-    Gzip members and plain records may be mixed. A record counts if its member's check sum, version line, header lines, content length and
-    closing line ends, and its SHA-1 block digest if it has one, are right, and it has at most ``max_record`` bytes. After a failed check the
-    reader tries every later place where a member or a version line could begin. Records and gaps cover the file with no overlap.
+    Gzip members and plain records may be mixed, and a member may hold any number of records: it is inflated as a stream. A record counts
+    if its version line, header lines, content length and closing line ends, and its SHA-1 block digest if it has one, are right, and its
+    body has at most ``max_record`` bytes, by default as many as a binary value can. A member's only record, and one without a digest,
+    counts only if nothing in the member contradicts its check sum; of a torn member what was sound before the tear stays. After a failed
+    check the reader tries every later version line of the member and, from where a member breaks, every later place of the file where a
+    member or a version line could begin. Records and gaps cover the file with no overlap; within a member their lengths are of what was
+    read of the compressed bytes.
     """
     at, gap, why = 0, None, ""
 
@@ -150,16 +294,18 @@ def salvage(source, *, max_record: int = 256 << 20) -> Iterator[Found]:
         try:
             start = source.read(at, len(VERSION))
             if start.startswith(GZIP):
-                content, end = _member(source, at, max_record)
-                held, place = [], 0
-                while place < len(content):
-                    headers, body, place = _record(lambda o, n, c=content: c[o : o + n], place, max_record)
-                    held.append(Found(at, end - at, None, headers, body))
-                if not held:
-                    raise Damage("empty member")
-            elif start == VERSION:
+                found = _member(source, at, max_record)
+                first = next(found)
+                yield from quarantined(at)
+                gap = None
+                yield first
+                at, fault = yield from found
+                if fault:
+                    gap, why, at = at, fault, _next(source, at)
+                continue
+            if start == VERSION:
                 headers, body, end = _record(source.read, at, max_record)
-                held = [Found(at, end - at, None, headers, body)]
+                record = Found(at, end - at, None, headers, body)
             else:
                 raise Damage("no record begins here")
         except Damage as e:
@@ -169,7 +315,7 @@ def salvage(source, *, max_record: int = 256 << 20) -> Iterator[Found]:
         else:
             yield from quarantined(at)
             gap = None
-            yield from held
+            yield record
             at = end
     yield from quarantined(source.size)
 
@@ -178,6 +324,9 @@ def _rows(name: str | None, found: Iterator[Found]) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
     for f in found:
         gap = f.reason is not None
+        if rows and held + len(f.body) > 8 << 20:
+            yield _batch(rows)
+            rows, held = [], 0
         rows.append((name, "gap" if gap else "record", f.offset, f.length, f.reason, f.headers.get("warc-type"), f.headers.get("warc-target-uri"), None if gap else list(f.headers.items()), None if gap else f.body))
         held += len(f.body)
         if held > 8 << 20 or len(rows) >= 4096:
@@ -191,7 +340,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ARROW)], schema=ARROW)
 
 
-def read_files(spark: SparkSession, paths: list[str], *, max_record: int = 256 << 20) -> DataFrame:
+def read_files(spark: SparkSession, paths: list[str], *, max_record: int = LARGEST) -> DataFrame:
     """Records and gaps of WARC files (paths may have wildcards); see ``SCHEMA``. A file is read by one task, in chunks.
 
     Records have ``kind`` "record", lower-case header names and the payload in ``body``. Gaps have ``kind`` "gap" and ``reason``; their
@@ -207,7 +356,7 @@ def read_files(spark: SparkSession, paths: list[str], *, max_record: int = 256 <
     return files.mapInArrow(run, SCHEMA)
 
 
-def read_payloads(shards: DataFrame, *, name_col: str = "source", payload_col: str = "payload", max_record: int = 256 << 20) -> DataFrame:
+def read_payloads(shards: DataFrame, *, name_col: str = "source", payload_col: str = "payload", max_record: int = LARGEST) -> DataFrame:
     """The same for WARC files held in a binary column, one a row. Null and empty ones give no rows; a null name stays null. Other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
