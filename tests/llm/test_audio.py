@@ -92,3 +92,54 @@ def test_edge_cases(spark):
     assert recordings_alike(prints.limit(0)).count() == 0
     odd = spark.createDataFrame([(1, None), (2, [None, 1.0]), (3, [])], "vec_id long, embedding array<float>")
     assert {r.rec_id: r.audio and len(r.audio) for r in melodies(odd).collect()} == {1: None, 2: 2 * 2 * 1378, 3: bytearray()}
+
+
+def test_long_repetitive_recordings_against_all_pairs(spark):
+    """Recordings of a minute in which phrases recur, so that chance offsets have more votes than the true one, and op7's own against all offsets."""
+    rng = np.random.default_rng(12)
+    refrain = [rng.normal(0, 0.25, 24) for _ in range(6)]
+    rows = []
+    for k in range(12):
+        verse = [rng.normal(0, 0.25, 40) for _ in range(6)]
+        s = melody(np.concatenate([x for n in range(6) for x in (refrain[k % 3], verse[n], refrain[3 + k % 2])]))
+        rows.append((k, s))
+        part = s[int(rng.integers(20, 40)) * RATE :]
+        rows.append((100 + k, part + rng.normal(0, 400, len(part))))
+    prints = {k: fingerprint(np.clip(s, -32768, 32767).astype("<i2")) for k, s in rows}
+    want = slow_pairs(prints)
+    df = spark.createDataFrame([(k, p.view(np.int32).tolist()) for k, p in prints.items()], "rec_id long, fingerprint array<int>")
+    got = {(r.a, r.b): r for r in align(df).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want) and len(want) >= 12
+    assert np.mean([abs(got[p].offset - want[p]) <= 1 for p in got]) > 0.95
+
+
+def test_outvoted_offset_is_tried(spark):
+    """Two values in common at a wrong offset, one at the true one."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(1, 1 << 32, 60, dtype=np.uint32)
+    b = a[10:].copy()
+    flips = rng.integers(0, 32, (len(b), 4))
+    flips[7] = flips[7, 0]
+    b ^= np.bitwise_or.reduce(np.uint32(1) << flips.astype(np.uint32), axis=1)
+    b[7] = a[17]
+    a[[2, 3]], b[[40, 41]] = (11, 12), (11, 12)
+    df = spark.createDataFrame([(1, a.view(np.int32).tolist()), (2, b.view(np.int32).tolist())], "rec_id long, fingerprint array<int>")
+    got = align(df).collect()
+    n, e = bit_error(a, b, 10)
+    assert [(r.a, r.b, r.offset, r.overlap) for r in got] == [(1, 2, 10, n)] and got[0].error == pytest.approx(e) and e > 0.1
+
+
+def test_query_finds_all_pairs(spark, sf_dir, tmp_path):
+    """op7's query over its vectors and noisy copies of some, against all pairs at all offsets."""
+    from wordloom.llm.common import table
+    from wordloom.llm.queries import op7_audio_fingerprints
+
+    rng = np.random.default_rng(9)
+    own = sorted(table(spark, sf_dir, "embeddings").collect(), key=lambda r: r.vec_id)[:60]
+    first = [(r.vec_id, [float(x) for x in r.embedding]) for r in own]
+    late = [(10**6 + k, [*rng.normal(0, 0.2, 8).tolist(), *(x + float(rng.normal(0, 0.004)) for x in v)]) for k, v in first[:30]]
+    spark.createDataFrame(first + late, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = op7_audio_fingerprints(spark, str(tmp_path)).collect()
+    want = set(slow_pairs({r.rec_id: np.array(r.fingerprint, np.int32).view(np.uint32) for r in rows}))
+    got = {(r.rec_id, o) for r in rows for o in r.alike if r.rec_id < o}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 20

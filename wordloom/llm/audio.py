@@ -130,12 +130,23 @@ def fingerprints(recordings: DataFrame, *, id_col: str = "rec_id", audio_col: st
     return plain(recordings, id=id_col, audio=audio_col).mapInArrow(run, "rec_id bigint, fingerprint array<int>")
 
 
+_ALIGNED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("offset", pa.int32()), ("overlap", pa.int32()), ("error", pa.float64())])
+
+
+def _best(a: np.ndarray, b: np.ndarray, offsets: np.ndarray, least_overlap: int) -> tuple[float, int, int]:
+    """Error, offset and overlap of the best of ``offsets`` and those next to them; ties: the smallest. Without enough overlap, an infinite error."""
+    need = max(1, min(least_overlap, len(a), len(b)))
+    tried = ((o, *bit_error(a, b, o)) for o in np.unique(np.add.outer((-1, 0, 1), offsets)).tolist())
+    return min(((e, o, n) for o, n, e in tried if n >= need), default=(np.inf, 0, 0))
+
+
 def align(prints: DataFrame, *, max_error: float = 0.15, least_overlap: int = 20, least_hits: int = 1) -> DataFrame:
     """``a``, ``b``, ``offset``, ``overlap`` and ``error`` of every pair of recordings, a < b, that sound alike.
 
-    Equal values vote for the offset of one recording against the other; the offset with most votes (``least_hits`` at least; ties: the
-    smallest) is checked by the share of differing bits where they overlap. A run of equal values, as in a steady tone, votes once, by its
-    first place; silence has no vote, so that silent recordings match nothing. Pairs need ``least_overlap`` values in common, or all those of the shorter.
+    Equal values vote for the offset of one recording against the other. Every offset with ``least_hits`` votes is checked, and those next to
+    it, by the share of differing bits where the two overlap; the one of least error counts (ties: the smallest). A run of equal values, as
+    in a steady tone, votes once, by its first place; silence has no vote, so that silent recordings match nothing. Pairs need
+    ``least_overlap`` values in common, or all those of the shorter.
 
     Null and empty fingerprints, and null ids, match nothing. Rows with the same id are one recording, the first by value. An empty table gives no rows.
     """
@@ -144,13 +155,20 @@ def align(prints: DataFrame, *, max_error: float = 0.15, least_overlap: int = 20
     heads = each.where((F.col("value") != SILENCE) & ~F.col("before")[F.col("pos")].eqNullSafe(F.col("value"))).select("rec_id", "pos", "value")
     x, y = (heads.select(F.col("rec_id").alias(k), F.col("pos").alias(f"p{k}"), "value") for k in "ab")
     votes = x.join(y, "value").where("a < b").groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("offset")).agg(F.count("*").alias("n")).where(F.col("n") >= least_hits)
-    best = votes.groupBy("a", "b").agg(F.max_by("offset", F.struct("n", -F.col("offset"))).alias("offset"))
-    pairs = best.join(held.select(F.col("rec_id").alias("a"), F.col("fp").alias("fa")), "a").join(held.select(F.col("rec_id").alias("b"), F.col("fp").alias("fb")), "b")
-    start = F.greatest(F.lit(0), "offset")
-    n = F.least(F.size("fa"), F.size("fb") + F.col("offset")) - start
-    over = pairs.withColumn("start", start).withColumn("overlap", n).where((F.col("overlap") > 0) & (F.col("overlap") >= F.least(F.lit(least_overlap), F.size("fa"), F.size("fb"))))
-    wrong = F.aggregate(F.zip_with(F.slice("fa", F.col("start") + 1, F.col("overlap")), F.slice("fb", F.col("start") - F.col("offset") + 1, F.col("overlap")), lambda p, q: F.bit_count(p.bitwiseXOR(q).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))), F.lit(0), lambda s, k: s + k)
-    return over.withColumn("error", wrong / (F.col("overlap") * 32)).where(F.col("error") <= max_error).select("a", "b", "offset", "overlap", "error")
+    voted = votes.groupBy("a", "b").agg(F.collect_list("offset").alias("offsets"))
+    pairs = voted.join(held.select(F.col("rec_id").alias("a"), F.col("fp").alias("fa")), "a").join(held.select(F.col("rec_id").alias("b"), F.col("fp").alias("fb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, b, offsets, fa, fb in zip(*(batch.column(c) for c in ("a", "b", "offsets", "fa", "fb")), strict=True):
+                x, y = (np.asarray(f.values, np.int32).view(np.uint32) for f in (fa, fb))
+                error, offset, overlap = _best(x, y, np.asarray(offsets.values), least_overlap)
+                if error <= max_error:
+                    rows.append((a.as_py(), b.as_py(), offset, overlap, error))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ALIGNED)], schema=_ALIGNED)
+
+    return pairs.select("a", "b", "offsets", "fa", "fb").mapInArrow(run, "a bigint, b bigint, offset int, overlap int, error double")
 
 
 def recordings_alike(prints: DataFrame, **how) -> DataFrame:
