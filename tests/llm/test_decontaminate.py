@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -72,3 +73,23 @@ def test_edge_cases(spark):
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 5, 7]
     assert contaminations(docs.limit(0), bench).count() == 0 and contaminations(docs, bench.limit(0)).count() == 0
     assert drop_contaminated(docs, bench.limit(0)).count() == 8
+
+
+def test_composed_against_decomposed(spark):
+    """Passages in either form, with ligatures and wide letters, and in scripts without spaces; places are those of the original."""
+    item = "l'été dernier à Málaga, où l'air était très doux, für alle schönen Gäste — ﬁn du café"
+    texts = [unicodedata.normalize(f, item) for f in ("NFC", "NFD", "NFKC", "NFKD")] + ["".join(chr(ord(c) + 0xFEE0) if "a" <= c <= "z" else c for c in item)]
+    words = re.findall(r"[^\W_]+", item)
+    for x in texts:
+        for y in texts:
+            search = Passages([(1, x)], 13, 5)
+            [(k, start, end, n)] = search.find(f"é. {y}! é")
+            # A combining mark at the very end is not of the passage.
+            assert (k, start, end) == (1, 3, 3 + len(y) - bool(unicodedata.combining(y[-1]))) and n == len(words) and search.touches(y)
+    chinese, thai = "这个问题的答案是什么请你回答", "ประเทศไทยมีเมืองหลวงชื่ออะไร"
+    items = [(1, chinese), (2, thai), (3, "十六夜")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"他说：{chinese}。好"), (2, f"ก่อน {thai} หลัง"), (3, "这个问题的答案不同"), (4, None), (5, unicodedata.normalize("NFD", "ガイド"))], "doc_id long, text string")
+    got = sorted(tuple(r)[:4] for r in contaminations(docs, bench).collect())
+    assert got == [(1, 1, 3, 3 + len(chinese)), (2, 2, 5, 5 + len(thai))]
+    assert sorted(r.doc_id for r in drop_contaminated(docs, bench).collect()) == [3, 4, 5]

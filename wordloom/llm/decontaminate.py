@@ -19,33 +19,58 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa
 _SPACE = ord(" ")
 
 
-@functools.lru_cache(1)
-def _folds() -> np.ndarray:
-    """For each code point what it is compared as: a lower-case letter, a digit, or a space; 0 for marks, which count for nothing."""
-    table = np.full(0x110000, _SPACE, np.uint32)
-    for c in range(0x110000):
-        if 0xD800 <= c < 0xE000 or 0x30000 <= c < 0xE0000:
-            continue
-        kind = unicodedata.category(chr(c))
-        if kind[0] in "LN":
-            table[c] = ord(chr(c).lower()[0])
-        elif kind[0] == "M" or kind == "Cf":
-            table[c] = 0
-    return table
+#: Scripts that put no spaces between words; each of their characters counts as a word.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
+
+
+def _unspaced(c: int) -> bool:
+    return any(low <= c <= high for low, high in _UNSPACED)
 
 
-def normalise(text: str) -> tuple[str, np.ndarray]:
+@functools.lru_cache(2)
+def _folds(decompose: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each code point is compared as: how many characters, where they begin in the list of all, and that list.
+
+    Lower-case letters, digits, or a space; nothing for marks. Decomposed, a letter is its letters without their marks, and one of a
+    script without spaces has a space on either side.
+    """
+    flat, start, count = [_SPACE], np.zeros(0x110000, np.int32), np.ones(0x110000, np.int64)
+    for c in range(0x110000):
+        if 0xD800 <= c < 0xE000 or 0x323B0 <= c < 0xE0000:
+            continue
+        char = chr(c)
+        kind = unicodedata.category(char)
+        if kind[0] == "M" or kind == "Cf":
+            count[c] = 0
+        elif kind[0] in "LN":
+            out = []
+            for x in unicodedata.normalize("NFKD", char) if decompose else char:
+                part = unicodedata.category(x)
+                if not decompose or part[0] in "LN":
+                    one = ord(x.lower()[0])
+                    out += [_SPACE, one, _SPACE] if decompose and _unspaced(one) else [one]
+                elif part[0] != "M" and part != "Cf":
+                    out.append(_SPACE)
+            start[c], count[c] = len(flat), len(out)
+            flat += out
+    return count, start, np.array(flat, np.uint32)
+
+
+def normalise(text: str, decompose: bool = False) -> tuple[str, np.ndarray]:
     """Words in lower case, each between single spaces, and for each character its place in ``text``.
 
-    Marks and format characters vanish; all else that is no letter or digit parts words. Length is kept by one-to-one folding, so that
-    places map back.
+    Marks and format characters vanish; all else that is no letter or digit parts words. ``decompose``, as for searching: letters
+    lose their own marks too, ligatures and wide letters are taken apart (NFKD), and each character of a script without spaces is a word.
     """
-    codes = _folds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    count, start, flat = _folds(decompose)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    many = count[points]
+    at = np.repeat(np.arange(len(points)), many)
+    codes = flat[start[points[at]] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)]
     codes = np.concatenate(([_SPACE], codes, [_SPACE])).astype(np.uint32)
-    at = np.flatnonzero(codes)
-    codes = codes[at]
+    at = np.concatenate(([-1], at, [len(points)]))
     stay = np.append(True, (codes[1:] != _SPACE) | (codes[:-1] != _SPACE))
-    return codes[stay].tobytes().decode("utf-32-le"), at[stay] - 1
+    return codes[stay].tobytes().decode("utf-32-le"), at[stay]
 
 
 class Passages:
@@ -59,7 +84,7 @@ class Passages:
         self.window = window
         self.patterns: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item, text in items:
-            words = normalise(text or "")[0].split()
+            words = normalise(text or "", True)[0].split()
             if item is None or len(words) < max(least, 1):
                 continue
             for k in range(max(1, len(words) - window + 1)):
@@ -83,13 +108,13 @@ class Passages:
         return self._automaton
 
     def touches(self, text: str | None) -> bool:
-        return bool(text and self.patterns) and next(self.automaton.iter(normalise(text)[0]), None) is not None
+        return bool(text and self.patterns) and next(self.automaton.iter(normalise(text, True)[0]), None) is not None
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """Item, start, end and number of words of each passage. Windows that follow each other in both texts are one passage."""
         if not text or not self.patterns:
             return []
-        flat, places = normalise(text)
+        flat, places = normalise(text, True)
         open_: dict[tuple[int, int, int], list[int]] = {}
         out = []
         for end, (length, entries) in self.automaton.iter(flat):
@@ -119,7 +144,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
     """``doc_id``, ``item_id``, ``start``, ``end`` and ``words`` of every benchmark passage in ``docs``.
 
     Characters ``start`` to ``end`` of the original text hold the passage. Case, punctuation, white space and
-    combining marks don't matter. Each text is scanned once, whole, in the order read; nothing is shuffled.
+    marks, composed or combining, don't matter; in scripts without spaces each character is a word. Each text is scanned once, whole, in the order read; nothing is shuffled.
 
     Null and empty texts, of documents or items, hold nothing; an item with a null id is left out. A document with a null id
     has its passages with a null ``doc_id``. Repeated rows have theirs as often as they occur; items with the same text are each reported.
