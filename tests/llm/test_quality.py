@@ -89,3 +89,23 @@ def test_query_scores_every_row(spark, sf_dir):
     rows = op8_quality_classifier(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in table(spark, sf_dir, "documents").select("doc_id").collect())
     assert all(0 <= r.quality <= 1 and r.keep == (r.quality >= 0.5) for r in rows)
+
+
+def test_rows_do_not_depend_on_neighbours():
+    """Letters whose lower case has another length, beside a text or in it."""
+    texts = ["I'm here, I, A. (NASA)\n--\n--\nsame line!\nSame line?\n", "NASA and ESA\nNASA and ESA", None, "", "é NATO"]
+    alone = np.concatenate([statistics(pa.array([t], pa.string())) for t in texts])
+    by = dict(zip(STATISTICS, alone[0]))
+    assert by["repeated_lines"] == 1 / 6 and by["caps_words"] == 1 / by_words(texts[0])
+    for odd in ("\u0130", "\u1e9e", "\u2126", "\u212b", "\u023a", "\u0130 \u023a", "\u023a \u2126"):
+        for beside in ([odd, *texts], [*texts, odd], [odd, *texts, f"A{odd}B CD\nA{odd}B CD"]):
+            rows = statistics(pa.array(beside))
+            at = beside.index(texts[0])
+            assert np.array_equal(rows[at : at + len(texts)], alone)
+        assert dict(zip(STATISTICS, rows[-1]))["repeated_lines"] == 1 / 2
+
+
+def by_words(text):
+    import re
+
+    return len(re.findall(r"\w+", text))

@@ -58,20 +58,17 @@ def statistics(texts: pa.Array) -> np.ndarray:
     lines = ends + 1.0
     # A line's key: the sum of its words' hashes, by the number of line ends before it.
     before = np.concatenate((np.zeros(1, np.int64), np.cumsum(data == 10)))
-    if len(w.start) and len(w.data) == len(data):
-        number = before[w.start] + w.text
+    again, shout = np.zeros(n), np.zeros(n)
+    if len(w.start):
+        # The same words in the original bytes: lower case may change a letter's length, but neither parts nor joins words.
+        o: Words = split(texts, lower=False)
+        number = before[o.start] + o.text
         head = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
         spread = w.hashes * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(w.hashes), dtype=np.uint64) - np.repeat(head, np.diff(np.append(head, len(number)))).astype(np.uint64)
         kinds, _ = _groups(w.text[head], np.add.reduceat(spread ^ (spread >> np.uint64(29)), head), n)
         filled = np.bincount(w.text[head], minlength=n)
         again = filled - kinds
-        shout = np.bincount(w.text[_UPPER[data[w.start]] & _UPPER[data[np.minimum(w.start + 1, len(data) - 1)]] & (w.length > 1)], minlength=n)
-    else:  # lower case has changed the length of a letter, so places in the two don't agree
-        again, shout = np.zeros(n), np.zeros(n)
-        for k, t in enumerate(texts.to_pylist()):
-            held = [x for x in map(str.strip, (t or "").lower().split("\n")) if x]
-            again[k] = len(held) - len(set(held))
-            shout[k] = sum(x[:2].isupper() and len(x) > 1 for x in (t or "").split())
+        shout = np.bincount(w.text[_UPPER[data[o.start]] & _UPPER[data[np.minimum(o.start + 1, len(data) - 1)]] & (o.length > 1)], minlength=n)
     s, m = np.maximum(size, 1), np.maximum(words, 1)
     out = np.stack(
         [
