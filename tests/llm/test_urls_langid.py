@@ -1,3 +1,4 @@
+import math
 import pickle
 import re
 from collections import Counter
@@ -104,3 +105,78 @@ def test_language_query_has_every_row(spark, sf_dir):
 
     rows = op9_language_id(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in table(spark, sf_dir, "documents").select("doc_id").collect())
+
+
+def slow_languages(rows, longest=5):
+    """The rule read plainly: counts of words and n-grams by language, each word looked up, then ever shorter n-grams of it."""
+    word_of = re.compile(r"[^\W\d_]+")
+    counts: dict = {}
+    for _, text, lang in rows:
+        if lang and text:
+            for w in word_of.findall(text.lower()):
+                counts.setdefault(lang, (Counter(), Counter()))[0][w] += 1
+    for words, grams in counts.values():
+        for w, k in words.items():
+            for n in range(1, longest + 1):
+                for i in range(len(w) + 2 - n + 1):
+                    grams[f" {w} "[i : i + n]] += k
+    langs = sorted(counts)
+    tables = []
+    for kind in (0, 1):
+        keys = set().union(*(counts[lang][kind] for lang in langs))
+        total = [sum(counts[lang][kind].values()) + 0.5 * len(keys - counts[lang][kind].keys()) for lang in langs]
+        tables.append({k: np.array([math.log((counts[lang][kind][k] or 0.5) / t) for lang, t in zip(langs, total)]) for k in keys})
+
+    def score(w):
+        if w in tables[0]:
+            return tables[0][w]
+        for n in range(longest, 0, -1):
+            if found := [tables[1][g] for i in range(len(w) + 2 - n + 1) if (g := f" {w} "[i : i + n]) in tables[1]]:
+                return np.mean(found, 0)
+        return np.zeros(len(langs))
+
+    def decide(text):
+        found = word_of.findall((text or "").lower())
+        s = np.mean([score(w) for w in found], 0) if found else np.zeros(len(langs))
+        if not s.any():
+            return None, 0.0
+        return langs[int(s.argmax())], float(s.max() - max(np.delete(s, int(s.argmax())), default=s.max()))
+
+    return decide
+
+
+def test_language_query_against_the_rule(spark, sf_dir):
+    from wordloom.llm.queries import op9_language_id
+
+    rows = [(r.doc_id, r.text, r.lang) for r in table(spark, sf_dir, "documents").collect()]
+    decide = slow_languages(rows)
+    got = {r.doc_id: (r.language, r.lead) for r in op9_language_id(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for d, text, _ in rows:
+        language, lead = decide(text)
+        assert got[d][0] == language and abs(got[d][1] - lead) < 1e-9
+
+
+def test_unseen_words_against_the_rule(spark, sf_dir):
+    """Fitted on half of the rows, so that words of the other half back off, in scripts of one to four bytes a letter."""
+    extra = [(-1, "日本語のテキスト です", "ja"), (-2, "日本の語", None), (-3, "привет мир", "ru"), (-4, "приветы 𐐨𐐩 x", None), (-5, "𐐨𐐩𐐪 𐐨", "dsrt"), (-6, "𐐨𐐩𐐫", None)]
+    rows = [(r.doc_id, r.text, r.lang) for r in table(spark, sf_dir, "documents").collect()] + extra
+    seen = [(d, t, lang if d % 2 == 0 or d < 0 else None) for d, t, lang in rows]
+    docs = spark.createDataFrame(seen, "doc_id long, text string, lang string").repartition(5)
+    decide = slow_languages(seen)
+    got = {r.doc_id: (r.language, r.lead) for r in langid.identify(docs, langid.fit(docs)).collect()}
+    for d, text, _ in rows:
+        language, lead = decide(text)
+        assert got[d][0] == language and abs(got[d][1] - lead) < 1e-9
+
+
+def test_no_word_is_cut(spark, sf_dir):
+    """The model holds every word and n-gram of the sampled rows, and a language of few rows is in it whole."""
+    docs = table(spark, sf_dir.replace("0.001", "0.1"), "documents").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(10**9 + k, f"szó nyelv {k}", "hu") for k in range(3)], docs.schema)
+    model = langid.fit(docs.unionByName(rare), max_rows=1_000_000)
+    words = {w for r in docs.union(rare).select("text").collect() for w in re.findall(r"[^\W\d_]+", (r.text or "").lower())}
+    assert len(words) > 150_000 and model.words.keys.to_pylist() == sorted(words, key=str.encode)
+    assert len(model.grams.keys) == len({g for w in words for n in range(1, 6) for i in range(len(w) + 3 - n) for g in [f" {w} "[i : i + n]]})
+    few = langid.fit(docs.unionByName(rare), max_rows=400)
+    assert "hu" in few.languages and {"szó", "nyelv"} <= few.words.place.keys() and len(few.words.place) < 60_000

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -11,9 +14,42 @@ import pyarrow.compute as pc
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _PLACE = _rng.integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
-#: Bytes of a word: ASCII letters, digits, underscore and all of other scripts.
-IN_WORD = np.array([chr(b).isalnum() or b == 95 or b >= 128 for b in range(256)]) & (np.arange(256) != 127)
-IN_WORD[:128] = [chr(b).isalnum() or b == 95 for b in range(128)]
+#: Scripts that put no spaces between words; each of their characters is a word.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
+
+
+def unspaced(c: int) -> bool:
+    return any(low <= c <= high for low, high in UNSPACED)
+
+
+#: A block of letters that still grows: Arrow knows the lower case of more of them than Python does.
+_LATER = slice(0xA7C0, 0xA7F2)
+
+
+@functools.lru_cache(1)
+def word_kinds() -> np.ndarray:
+    """For each code point 1 if it is part of words (a letter, digit, mark or underscore), 2 if it is a word of its own, else 0."""
+    out = np.zeros(0x110000, np.uint8)
+    out[[c for c in _assigned() if unicodedata.category(chr(c))[0] in "LNM"]] = 1
+    out[_LATER] |= 1
+    for low, high in UNSPACED:
+        of = out[low : high + 1]
+        of[[unicodedata.category(chr(c))[0] in "LN" for c in range(low, high + 1)]] = 2
+    out[ord("_")] = 1
+    return out
+
+
+@functools.lru_cache(1)
+def letter_kinds() -> np.ndarray:
+    """For each code point 1 if it is a letter, or a number that is no decimal digit."""
+    out = np.zeros(0x110000, np.uint8)
+    out[[c for c in _assigned() if (k := unicodedata.category(chr(c)))[0] == "L" or k in ("Nl", "No")]] = 1
+    out[_LATER] |= 1
+    return out
+
+
+def _assigned() -> Iterator[int]:
+    return (c for block in (range(0xD800), range(0xE000, 0x323B0), range(0xE0000, 0xE0200)) for c in block)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,24 +79,50 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def split(texts: pa.Array, lower: bool = True) -> Words:
-    """Runs of letters and digits, in lower case; ``hashes`` depend on nothing else."""
+def _high(data: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where characters of several bytes begin, how many they have, and their kinds."""
+    lead = np.flatnonzero(data >= 0xC0)
+    more = np.append(data, np.zeros(3, np.uint8)).astype(np.int32)
+    a, b, c, d = more[lead], more[lead + 1] & 0x3F, more[lead + 2] & 0x3F, more[lead + 3] & 0x3F
+    size = 2 + (a >= 0xE0) + (a >= 0xF0)
+    points = np.where(size == 2, (a & 0x1F) << 6 | b, np.where(size == 3, (a & 0xF) << 12 | b << 6 | c, (a & 7) << 18 | b << 12 | c << 6 | d))
+    return lead, size, kinds[points]
+
+
+def composed(texts: pa.Array) -> pa.Array:
+    """The texts in normal form C."""
+    if not len(high := raw(texts)[0]) or high.max() < 128:
+        return texts
+    return pa.array([t and unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+
+def split(texts: pa.Array, lower: bool = True, kinds: np.ndarray | None = None) -> Words:
+    """Runs of letters, digits and marks, in lower case; ``hashes`` depend on nothing else. Where scripts put no spaces, each character is a word.
+
+    ``kinds`` says of each code point what it is to words, by default ``word_kinds()``.
+    """
+    kinds = word_kinds() if kinds is None else kinds
     data, offsets = raw(pc.utf8_lower(texts) if lower else texts)
-    inside = IN_WORD[data]
+    inside = np.append(kinds[:128] > 0, np.zeros(128, bool))[data]
+    lead, size, kind = _high(data, kinds)
+    for k in range(4):
+        inside[lead[(kind > 0) & (size > k)] + k] = True
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
     first[heads] |= inside[heads]
+    if (alone := kind == 2).any():
+        first[lead[alone]] = True
+        after = (lead + size)[alone]
+        after = after[after < len(data)]
+        first[after] |= inside[after]
     start = np.flatnonzero(first)
     if not len(start):
         none = np.zeros(0, np.int64)
         return Words(data, offsets, np.zeros(0, np.uint64), none, none, none)
     reach = np.diff(np.append(start, len(data)))
     place = np.arange(start[0], len(data)) - np.repeat(start, reach)
-    body = inside[start[0] :].copy()
-    cut = heads[heads >= start[0]] - start[0]
-    # What follows a word belongs to none, also where the next text begins with a space.
-    body[cut] &= first[start[0] :][cut]
+    body = inside[start[0] :]
     value = np.where(body, _BYTE[data[start[0] :]] * _PLACE[place & 4095], np.uint64(0))
     at = start - start[0]
     length = np.add.reduceat(body.astype(np.int32), at)
