@@ -92,3 +92,17 @@ def test_keys_inside_paths_and_names(spark, model):
     docs = spark.createDataFrame([(1, f"x {path}{KEY}", 9)], "doc_id long, text string, n_chars long")
     assert [(r.start, r.end) for r in scan(docs, model).collect()] == [(2 + len(path), 2 + len(path) + len(KEY))]
     assert redact(docs, model).first().text == f"x {path}[SECRET]"
+
+
+def test_shorter_secrets_and_other_marks():
+    """Length and alphabet are parameters: passwords of ten characters or more with marks in them are found, addresses and names aren't."""
+    m = train(least=8, also="!@#$%&.:~")
+    rng = random.Random(21)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + "!@#$%&.:~" * 3
+    keys = ["".join(rng.choices(signs, k=rng.randint(10, 20))) for _ in range(500)]
+    keys = [k for k in keys if re.search("[a-zA-Z]", k) and re.search("[0-9]", k) and not k.endswith(".")]
+    found = [any(a <= 10 and b >= 10 + len(k) - 1 for a, b, _ in m.find(f"password: {k} and")) for k in keys]
+    assert sum(found) >= 0.95 * len(found)
+    assert train(least=12).find("token 9f86d081884c7d6") and not train().find("token 9f86d081884c7d6")
+    plain = ["see https://example.org/about.html", "mail info@example.com", "user.name: admin", "at 10:30:15 on 2024.01.02", "Well, that was it: the end.", "config.server.port", "50% off!", "a...b"]
+    assert not [t for t in plain if m.find(t)]

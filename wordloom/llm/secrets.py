@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import math
 import random
 import re
@@ -18,9 +19,18 @@ from .common import numbered, place, plain, slices
 
 SCHEMA = "doc_id bigint, start bigint, end bigint, ratio double"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("ratio", pa.float64())])
-#: A secret's fewest characters, and the runs that can hold one: whole, or as a stretch of a path or a name.
+#: By default a secret's fewest characters.
 LEAST = 16
-TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{{{LEAST},}}={{0,2}}")
+
+
+@functools.lru_cache(16)
+def runs(least: int, also: str) -> re.Pattern:
+    """The runs that can hold a secret: whole, or as a stretch of a path or a name."""
+    one = rf"[A-Za-z0-9+/_\-{re.escape(also)}]"
+    return re.compile(rf"(?<!{one}){one}{{{least},}}={{0,2}}")
+
+
+TOKEN = runs(LEAST, "")
 #: What parts the words of a path or a name.
 _PARTS = "/_-"
 _LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
@@ -68,11 +78,13 @@ dad mente ando iendo ado ida
 
 
 class Model(NamedTuple):
-    """``table[a, b, c]``: the log-likelihood ratio of c after a and b, random against ordinary."""
+    """``table[a, b, c]``: the log-likelihood ratio of c after a and b, random against ordinary; see ``train`` for the rest."""
 
     table: np.ndarray
     threshold: float
     doubt: float
+    least: int = LEAST
+    also: str = ""
 
     def ratios(self, token: str) -> np.ndarray:
         """The share of each character in the ratio of the whole."""
@@ -89,10 +101,11 @@ class Model(NamedTuple):
     def stretches(self, token: str) -> list[tuple[int, int, float]]:
         """Start, end and ratio of each secret of a run: the run itself or, where other characters outweigh it, its best stretches.
 
-        The best stretch is the one of ``LEAST`` characters or more with the largest sum; what lies before and after it is searched
+        The best stretch is the one of ``least`` characters or more with the largest sum; what lies before and after it is searched
         in the same way. As the best of so many, it has to reach the logarithm of the run's length more. It is then widened to the next
         separators, since the ends of a key may read as ordinary.
         """
+        least, parts = self.least, _PARTS + self.also
         each = self.ratios(token).astype(float)
         if self._secret(token, whole := float(each.sum())):
             return [(0, len(token), whole)]
@@ -101,24 +114,24 @@ class Model(NamedTuple):
         out, todo = [], [(0, len(token))]
         while todo:
             low, high = todo.pop()
-            if high - low < LEAST:
+            if high - low < least:
                 continue
-            lowest = np.minimum.accumulate(run[low : high - LEAST + 1])
-            gain = run[low + LEAST : high + 1] - lowest
+            lowest = np.minimum.accumulate(run[low : high - least + 1])
+            gain = run[low + least : high + 1] - lowest
             if gain.max() < self.threshold + more:
                 continue
-            stop = low + LEAST + int(gain.argmax())
-            start = low + int(run[low : stop - LEAST + 1].argmin())
+            stop = low + least + int(gain.argmax())
+            start = low + int(run[low : stop - least + 1].argmin())
             if self._secret(token[start:stop], float(run[stop] - run[start]) - more):
-                start = max([low, *(token.rfind(c, low, start) + 1 for c in _PARTS)])
-                stop = min([high, *(k for c in _PARTS if (k := token.find(c, stop, high)) >= 0)])
+                start = max([low, *(token.rfind(c, low, start) + 1 for c in parts)])
+                stop = min([high, *(k for c in parts if (k := token.find(c, stop, high)) >= 0)])
                 out.append((start, stop, float(run[stop] - run[start])))
             todo += [(low, start), (stop, high)]
         return sorted(out)
 
     def find(self, text: str | None) -> list[tuple[int, int, float]]:
         """Start, end and ratio of each secret of a text, in order."""
-        return [(m.start() + a, m.start() + b, r) for m in TOKEN.finditer(text or "") for a, b, r in self.stretches(m.group())]
+        return [(m.start() + a, m.start() + b, r) for m in runs(self.least, self.also).finditer(text or "") for a, b, r in self.stretches(m.group())]
 
     def redact(self, text: str | None, mark: str) -> str | None:
         if not text or not (found := self.find(text)):
@@ -130,8 +143,11 @@ class Model(NamedTuple):
         return "".join((*parts, text[at:]))
 
 
-def labelled(n: int = 6000, seed: int = 11) -> Iterator[tuple[str, bool]]:
-    """Labelled samples: random strings in the alphabets that keys are written in (true), and ordinary names (false)."""
+def labelled(n: int = 6000, seed: int = 11, also: str = "") -> Iterator[tuple[str, bool]]:
+    """Labelled samples: random strings in the alphabets that keys are written in (true), and ordinary names (false).
+
+    With the marks of ``also``, strings that hold them besides, and names that are parted by them.
+    """
     rng = random.Random(seed)
     hexa, b32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     b62 = _ALPHABET[:62]
@@ -179,6 +195,10 @@ def labelled(n: int = 6000, seed: int = 11) -> Iterator[tuple[str, bool]]:
             day = f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
             out = rng.choice((f"{day}-{w[0]}-{w[1]}", f"{w[0]}-{day}", f"{day}T{rng.randrange(24):02}-{rng.randrange(60):02}", f"/{day.replace('-', '/')}/{w[0]}", f"v{rng.randrange(10)}-{rng.randrange(99)}-{rng.randrange(99)}-{w[0]}", "-" * rng.randint(16, 40), "_" * rng.randint(16, 40) + w[0], "=" * 3 + w[0] * 5, rng.choice("abxz") * rng.randint(16, 30)))
         yield out, False
+    for _ in range(n * bool(also)):
+        yield "".join(rng.choices(b62 + also * 2, k=rng.randint(8, 24))), True
+        for joint in (rng.choice(also), rng.choice(also) + rng.choice(("", "/", "//", "_"))):
+            yield joint.join(rng.choices(words, k=rng.randint(2, 5))) + rng.choice(("", also[0], rng.choice(also), str(rng.randrange(100)))), False
 
 
 def _smoothed(texts: Iterable[str], weight: float) -> np.ndarray:
@@ -196,46 +216,55 @@ def _smoothed(texts: Iterable[str], weight: float) -> np.ndarray:
     return np.log(p3)
 
 
-def train(samples: Iterable[tuple[str, bool]] | None = None, *, weight: float = 20.0, threshold: float = 8.0, doubt: float = 24.0) -> Model:
-    """Models of the true and the false samples (by default ``labelled()``), as one table of differences.
+def train(samples: Iterable[tuple[str, bool]] | None = None, *, weight: float = 20.0, threshold: float = 8.0, doubt: float = 24.0, least: int = LEAST, also: str = "") -> Model:
+    """Models of the true and the false samples (by default ``labelled(also=also)``), as one table of differences.
+
+    A candidate has ``least`` characters or more: letters, digits, ``+ / _ -`` and the ASCII marks of ``also``. The defaults are for keys. Passwords are
+    shorter and hold other marks: ``least=8, also="!@#$%&.:~"`` finds such, at the price of more ordinary text that looks random.
 
     A token is a secret if its ratio is at least ``threshold``: that many nats, so e**8 to one. One without a digit may be
     a word of a language that the samples don't hold, and has to reach ``doubt`` more. A stretch of a longer run: see ``Model.stretches``.
     """
     random_, ordinary = [], []
-    for text, secret in labelled() if samples is None else samples:
+    for text, secret in labelled(also=also) if samples is None else samples:
         if text:
             (random_ if secret else ordinary).append(text)
     if not random_ or not ordinary:
         raise ValueError("samples of both kinds are needed")
-    return Model((_smoothed(random_, weight) - _smoothed(ordinary, weight)).astype(np.float32), threshold, doubt)
+    return Model((_smoothed(random_, weight) - _smoothed(ordinary, weight)).astype(np.float32), threshold, doubt, least, also)
 
 
 def scan(docs: DataFrame, model: Model | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``start``, ``end`` and ``ratio`` of every secret: a run of 16 or more key characters that reads as random, or such a stretch of a longer run.
+    """``doc_id``, ``start``, ``end`` and ``ratio`` of every secret: a run of key characters that reads as random, or such a stretch of a longer run.
+
+    A secret has 16 characters at least, and those of the model's alphabet only; both are parameters of ``train``.
 
     The secret itself is not repeated in the result. Each text is read once, whole; nothing is shuffled. Runs without a letter, such as card
     and telephone numbers, are none. Null and empty texts hold none. A null id stays null; repeated rows have theirs as often as they occur.
     An empty table gives no rows. Other columns are left out.
     """
-    model = model or train()
+    sent = docs.sparkSession.sparkContext.broadcast(model or train())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows = [(doc, *hit) for doc, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True) for hit in model.find(text)]
+                rows = [(doc, *hit) for doc, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True) for hit in sent.value.find(text)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ARROW)], schema=ARROW)
 
     return plain(docs, id=id_col, text=text_col).mapInArrow(run, SCHEMA)
 
 
 def redact(docs: DataFrame, model: Model | None = None, *, text_col: str = "text", size_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with ``mark`` in place of each secret; ``size_col``, where there is one, is counted anew for changed texts. No row goes."""
-    model = model or train()
+    """``docs`` with ``mark`` in place of each secret; ``size_col``, where there is one, is counted anew for changed texts. No row goes.
+
+    Null and empty texts stay as they are, and a null size of an unchanged text stays null; repeated rows stay repeated, and an empty table gives
+    no rows. All columns stay. What counts as a secret is said in ``scan``.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model or train())
 
     @F.arrow_udf("string")
     def clean(text: pa.Array) -> pa.Array:
-        return pa.array([model.redact(t, mark) for t in text.to_pylist()], pa.string())
+        return pa.array([sent.value.redact(t, mark) for t in text.to_pylist()], pa.string())
 
     at = place(docs, text_col)
     size = place(docs, size_col) if size_col and size_col.lower() in map(str.lower, docs.columns) else None
