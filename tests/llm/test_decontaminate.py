@@ -2,6 +2,7 @@ import random
 import re
 import unicodedata
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -93,3 +94,29 @@ def test_composed_against_decomposed(spark):
     got = sorted(tuple(r)[:4] for r in contaminations(docs, bench).collect())
     assert got == [(1, 1, 3, 3 + len(chinese)), (2, 2, 5, 5 + len(thai))]
     assert sorted(r.doc_id for r in drop_contaminated(docs, bench).collect()) == [3, 4, 5]
+
+
+def test_short_items_are_searched_for(spark):
+    """Every item with ``least=1``, on word boundaries; the number of words tells them apart. Items that share an id stay apart."""
+    bench = spark.createDataFrame([(1, "Paris"), (2, "這個"), (3, "is the capital"), (4, "..."), (5, "one two three"), (5, "two three four")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Paris is the capital; comparison, PARIS"), (2, "「這個」"), (3, "one two three four"), (4, None)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in contaminations(docs, bench, least=1).collect())
+    assert got == [(1, 1, 0, 5, 1), (1, 1, 34, 39, 1), (1, 3, 6, 20, 3), (2, 2, 1, 3, 2), (3, 5, 0, 13, 3), (3, 5, 4, 18, 3)]
+    assert sorted(r.doc_id for r in drop_contaminated(docs, bench).collect()) == [1, 2, 3, 4]
+    assert sorted(r.doc_id for r in drop_contaminated(docs, bench, least=3).collect()) == [2, 4]
+
+
+def test_runs_of_items_with_one_id_do_not_join(spark):
+    a, b = [f"a{k}" for k in range(20)], [f"b{k}" for k in range(20)]
+    mixed = " ".join([*a[:13], *b[1:14]])
+    bench = spark.createDataFrame([(7, " ".join(a)), (7, " ".join(b))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, mixed)], "doc_id long, text string")
+    assert sorted(r.words for r in contaminations(docs, bench).collect()) == [13, 13]
+
+
+def test_too_large_a_benchmark_is_refused(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(40)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    for most in (2, 20):
+        with pytest.raises(ValueError):
+            contaminations(docs, bench, max_patterns=most)

@@ -6,7 +6,7 @@ import pytest
 
 from wordloom.llm.packing import Bins, pack
 from wordloom.llm.tokens import END_ID, PATTERN, TOKENIZER, decode, encode, encoder
-from wordloom.llm.wavelet import WaveletMatrix, build, document_tokens, token_counts, token_occurrences, token_shards
+from wordloom.llm.wavelet import WaveletMatrix, build, document_tokens, searched, token_counts, token_occurrences, token_shards
 
 TEXTS = ["One two three.", "", None, "É" * 40, "tie one", "tie one", "a  b\n\n c ", "word " * 3000]
 
@@ -141,3 +141,69 @@ def test_shard_query_round_trip(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {r.doc_id: r.tokens for r in document_tokens(op6_wavelet_tokens(spark, sf_dir)).collect()}
     assert got.keys() == texts.keys() and all(decode(got[d]) == t for d, t in texts.items())
+
+
+@pytest.mark.parametrize("top", [1, 2, 1 << 16, 1 << 17, 1 << 32])
+def test_wavelet_of_other_vocabularies(top):
+    """As many planes as the highest id has bits; select against lists, over blocks of all ones, all zeros and both."""
+    rng = np.random.default_rng(7)
+    ids = np.concatenate([rng.integers(0, top, 3000), np.full(1100, top - 1), np.zeros(1100, np.int64), rng.integers(0, top, 50)])
+    m = WaveletMatrix(build(ids))
+    assert m.levels == (top - 1).bit_length() and m.access(np.arange(len(ids))).tolist() == ids.tolist()
+    for t in {0, top - 1, *ids[:9].tolist()}:
+        where = np.flatnonzero(ids == t)
+        assert m.occurrences(t).tolist() == where.tolist() and m.count(t, 100, 4000) == ((where >= 100) & (where < 4000)).sum()
+    assert m.count(top * 2) == 0 and m.count(-1) == 0
+    with pytest.raises(IndexError):
+        m.select(top * 2, [0])
+
+
+def test_larger_vocabulary(spark, tmp_path):
+    """Ids of more than 16 bits take four bytes, in sequences and in shards."""
+    import base64
+
+    ranks = {bytes([b]): 70_000 + b for b in range(256)} | {b"ab": 70_300}
+    path = tmp_path / "v.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {r}\n" for t, r in ranks.items()))
+    docs = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string").coalesce(1)
+    assert encode("abc", str(path)).tolist() == [70_300, 70_099]
+    row = pack(docs, tokenizer=str(path), end_id=None).first()
+    assert np.frombuffer(row.tokens, "<u4").tolist() == [70_300, 70_099] and row.n_tokens == 2
+    shards = token_shards(docs, tokenizer=str(path))
+    assert [(r.doc_id, r.tokens) for r in document_tokens(shards).collect()] == [(1, [70_300, 70_099]), (2, [])]
+    assert {r.token_id: r.n for r in token_counts(shards, [70_300, 5]).collect()} == {70_300: 1, 5: 0}
+
+
+def test_search_query_against_lists(spark, sf_dir):
+    """What op6 reads back from its files, against the tokens of the texts."""
+    from wordloom.llm.queries import op6_wavelet_tokens
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    total = 0
+    for r in op6_wavelet_tokens(spark, sf_dir).collect():
+        ids = np.concatenate([np.frombuffer(encode(texts[d]), "<u2") for d in r.doc_ids])
+        want = [(t, np.flatnonzero(ids == t).tolist()) for t in range(0, END_ID, 100)]
+        assert [(f.token_id, f.positions) for f in r.found] == [(t, p) for t, p in want if p]
+        total += len(r.found)
+    assert total > 10
+
+
+def test_search_edge_cases(spark):
+    empty = build(np.zeros(0, np.int64))
+    rows = [(1, bytearray(empty)), (2, None), (3, bytearray(build(np.array([5, 0, 5])))), (3, bytearray(build(np.array([5, 0, 5]))))]
+    shards = spark.createDataFrame(rows, "found_in long, payload binary")
+    got = sorted((r.found_in, r.found and [tuple(f) for f in r.found]) for r in searched(shards, [5, 0, 9, 5, 70_000]).collect())
+    assert got == [(1, []), (2, None), (3, [(0, [1]), (5, [0, 2])]), (3, [(0, [1]), (5, [0, 2])])]
+    assert searched(shards.limit(0), [1]).count() == 0
+
+
+def test_pack_query_bins_against_search(spark, sf_dir):
+    """Which pieces share a sequence, at the query's own capacity and number of bins: a search over all open bins for each piece."""
+    from wordloom.llm.queries import op2_best_fit_packing
+
+    by_part = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("spark_partition_id() AS p", "doc_id", "text").collect():
+        n = len(encode(r.text)) + 1 if r.text else 0
+        by_part[r.p] += [(r.doc_id, k, min(2048, n - 2048 * k)) for k in range(-(-n // 2048))]
+    want = {p << 33 | k: [pieces[i] for i in held] for p, pieces in by_part.items() for k, held in enumerate(slow_best_fit([n for _, _, n in pieces], 2048, 64))}
+    assert {r.bin_id: list(zip(r.doc_ids, r.pieces, r.lengths)) for r in op2_best_fit_packing(spark, sf_dir).collect()} == want

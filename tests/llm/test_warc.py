@@ -4,7 +4,7 @@ import random
 import duckdb
 import pytest
 
-from wordloom.llm.warc import TORN, VERSION, Bytes, read_files, read_pages, read_payloads, salvage, write_pages, write_record
+from wordloom.llm.warc import DAMAGE, TORN, VERSION, Bytes, read_files, read_pages, read_payloads, salvage, write_pages, write_record
 
 
 def record(k, compress=True, body=None):
@@ -148,3 +148,32 @@ def test_no_cap_on_size():
     big = [record(k, False, bytes(64 << 20)) for k in range(5)]
     assert uris(gzip.compress(b"".join(big), 1)) == ["0", "1", "2", "3", "4"]
     assert uris(record(97, False, bytes(257 << 20)) + record(98)) == ["97", "98"]
+
+
+def test_damage_of_every_kind():
+    """Each kind is a gap of its own length, before, between and after sound records, in the file and inside a member."""
+    assert len(DAMAGE) == len(set(DAMAGE)) == 9
+    for bad in DAMAGE:
+        for parts in ([bad, record(1)], [record(1), bad, record(2)], [record(1, False), bad, record(2, False)], [record(1), bad]):
+            got = spans(b"".join(parts))
+            assert [(n, ok) for _, n, ok in got] == [(len(p), p is not bad) for p in parts]
+    inner = [record(k, False) for k in range(5)]
+    for bad in DAMAGE:
+        assert [u for u in uris(gzip.compress(b"".join([*inner[:3], bad, *inner[3:]]))) if u] == [str(k) for k in range(5)]
+
+
+def test_versions_and_long_headers():
+    old = record(3, False).replace(b"WARC/1.1", b"WARC/0.18")
+    assert [x[2] for x in spans(old)] == [True] and [x[2] for x in spans(gzip.compress(old))] == [True]
+    many = write_record({"WARC-Target-URI": "http://a.org/7", **{f"X-{k}": "v" * 200 for k in range(2000)}}, b"x", compress=False)
+    one = write_record({"WARC-Target-URI": "http://a.org/8", "X": "v" * 300_000}, b"x", compress=False)
+    assert uris(many + record(1) + one + gzip.compress(many + one)) == ["7", "1", "8", "7", "8"]
+    assert [x[2] for x in spans(b"WARC/1.0\r\n" * 3000 + record(1))] == [False, True]
+
+
+def test_odd_paths(spark, tmp_path):
+    folder = tmp_path / "a b#c%20d"
+    folder.mkdir()
+    for name in ("x y.warc", "x#y.warc", "x%41y.warc", "é+&.warc"):
+        (folder / name).write_bytes(record(1))
+    assert sorted(r.uri for r in read_files(spark, [str(folder)]).collect()) == ["http://a.org/1"] * 4

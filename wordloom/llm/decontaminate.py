@@ -13,20 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import numbered, place, plain, slices
+from .words import unspaced
 
 SCHEMA = "doc_id bigint, item_id bigint, start bigint, end bigint, words int"
 ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int32())])
 _SPACE = ord(" ")
 
 
-#: Scripts that put no spaces between words; each of their characters counts as a word.
-_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
-
-
-def _unspaced(c: int) -> bool:
-    return any(low <= c <= high for low, high in _UNSPACED)
-
-
 @functools.lru_cache(2)
 def _folds(decompose: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What each code point is compared as: how many characters, where they begin in the list of all, and that list.
@@ -48,7 +41,7 @@ def _folds(decompose: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 part = unicodedata.category(x)
                 if not decompose or part[0] in "LN":
                     one = ord(x.lower()[0])
-                    out += [_SPACE, one, _SPACE] if decompose and _unspaced(one) else [one]
+                    out += [_SPACE, one, _SPACE] if decompose and unspaced(one) else [one]
                 elif part[0] != "M" and part != "Cf":
                     out.append(_SPACE)
             start[c], count[c] = len(flat), len(out)
@@ -77,20 +70,22 @@ class Passages:
     """What to search for, and what was found.
 
     An item of at most ``window`` words is one pattern; a longer one has a pattern for every run of ``window`` words.
-    Items of fewer than ``least`` words are no evidence, and are not searched for.
+    Items of fewer than ``least`` words are not searched for. The automaton's letters are the numbers of the items' words.
     """
 
     def __init__(self, items: Iterable[tuple[int, str | None]], window: int, least: int) -> None:
         self.window = window
-        self.patterns: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.items: list[int] = []
+        self.words: dict[str, int] = {}
+        self.patterns: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for item, text in items:
             words = normalise(text or "", True)[0].split()
             if item is None or len(words) < max(least, 1):
                 continue
+            numbers = tuple(self.words.setdefault(w, len(self.words) + 1) for w in words)
             for k in range(max(1, len(words) - window + 1)):
-                entry = (item, k)
-                if entry not in (held := self.patterns[f" {' '.join(words[k : k + window])} "]):
-                    held.append(entry)
+                self.patterns[numbers[k : k + window]].append((len(self.items), k))
+            self.items.append(item)
         self._automaton = None
 
     def __getstate__(self):
@@ -101,14 +96,18 @@ class Passages:
         if self._automaton is None:
             import ahocorasick
 
-            self._automaton = ahocorasick.Automaton()
-            for text, entries in self.patterns.items():
-                self._automaton.add_word(text, (len(text), entries))
+            self._automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            for numbers, entries in self.patterns.items():
+                self._automaton.add_word(numbers, (len(numbers), entries))
             self._automaton.make_automaton()
         return self._automaton
 
+    def _hits(self, flat: str) -> Iterator[tuple[int, tuple[int, list[tuple[int, int]]]]]:
+        number = self.words.get
+        return self.automaton.iter(tuple([number(w, 0) for w in flat.split()]))
+
     def touches(self, text: str | None) -> bool:
-        return bool(text and self.patterns) and next(self.automaton.iter(normalise(text, True)[0]), None) is not None
+        return bool(text and self.patterns) and next(self._hits(normalise(text, True)[0]), None) is not None
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """Item, start, end and number of words of each passage. Windows that follow each other in both texts are one passage."""
@@ -117,32 +116,42 @@ class Passages:
         flat, places = normalise(text, True)
         open_: dict[tuple[int, int, int], list[int]] = {}
         out = []
-        for end, (length, entries) in self.automaton.iter(flat):
-            first = end - length + 2
-            words = flat.count(" ", first, end) + 1
-            step = flat.index(" ", first) + 1
+        for last, (n, entries) in self._hits(flat):
+            first = last - n + 1
             for item, k in entries:
                 if run := open_.pop((item, first, k), None):
-                    run[1], run[2] = end, run[2] + 1
+                    run[1] = last
                 else:
-                    run = [first, end, words]
+                    run = [first, last]
                     out.append((item, run))
-                open_[item, step, k + 1] = run
-        return sorted((item, int(places[a]), int(places[b - 1]) + 1, n) for item, (a, b, n) in out)
+                open_[item, first + 1, k + 1] = run
+        if not out:
+            return []
+        gaps = np.flatnonzero(np.frombuffer(flat.encode("utf-32-le"), np.uint32) == _SPACE)
+        return sorted((self.items[item], int(places[gaps[a] + 1]), int(places[gaps[b + 1] - 1]) + 1, b - a + 1) for item, (a, b) in out)
 
 
-def passages(benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", window: int = 13, least: int = 5, max_bytes: int = 256 << 20) -> Passages:
-    """The patterns of a benchmark. They go to every task, so a benchmark of more than ``max_bytes`` of text is refused."""
+def passages(benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", window: int = 13, least: int = 5, max_patterns: int = 1_000_000) -> Passages:
+    """The patterns of a benchmark, a run of ``window`` words each. They go to every executor, so one of more than ``max_patterns`` is refused, not cut.
+
+    A pattern takes about a kilobyte in each Python worker, once the automaton is made.
+    """
     items = plain(benchmark, id=item_col, text=item_text_col).where("text IS NOT NULL")
     held = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if held > max_bytes:
-        raise ValueError(f"the benchmark has {held} bytes; split it, or raise max_bytes")
-    return Passages(sorted(map(tuple, items.dropna().distinct().collect())), window, least)
+    if held > 16 * max_patterns:  # more runs than that, unless words have more than sixteen bytes; so much isn't fetched
+        raise ValueError(f"the benchmark has {held} bytes; split it, or raise max_patterns")
+    search = Passages(sorted(map(tuple, items.dropna().distinct().collect())), window, least)
+    if len(search.patterns) > max_patterns:
+        raise ValueError(f"the benchmark has {len(search.patterns)} patterns; split it, or raise max_patterns")
+    return search
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``doc_id``, ``item_id``, ``start``, ``end`` and ``words`` of every benchmark passage in ``docs``.
 
+    With ``least=1`` items of any length are searched for, also an answer of one word; ``words`` says how much a row proves. By default those
+    of fewer than 5 words are no evidence.
+
     Characters ``start`` to ``end`` of the original text hold the passage. Case, punctuation, white space and
     marks, composed or combining, don't matter; in scripts without spaces each character is a word. Each text is scanned once, whole, in the order read; nothing is shuffled.
 
@@ -150,23 +159,27 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
     has its passages with a null ``doc_id``. Repeated rows have theirs as often as they occur; items with the same text are each reported.
     Empty tables give no rows. Other columns are left out.
     """
-    search = passages(benchmark, **how)
+    sent = docs.sparkSession.sparkContext.broadcast(passages(benchmark, **how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                rows = [(doc, *hit) for doc, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True) for hit in search.find(text)]
+                rows = [(doc, *hit) for doc, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True) for hit in sent.value.find(text)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(ARROW)], schema=ARROW)
 
     return plain(docs, id=id_col, text=text_col).mapInArrow(run, SCHEMA)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark passage. Null and empty texts stay, as do all columns."""
-    search = passages(benchmark, **how)
+    """``docs`` without the rows that hold a benchmark passage of 5 words or more (``least``).
+
+    Null and empty texts stay, as do all columns; of repeated rows all go or stay. Empty tables are no special case: without
+    items every row stays. An item with a null id is left out. Nothing is shuffled.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(passages(benchmark, **how))
 
     @F.arrow_udf("boolean")
     def clean(text: pa.Array) -> pa.Array:
-        return pa.array([not search.touches(t) for t in text.to_pylist()], pa.bool_())
+        return pa.array([not sent.value.touches(t) for t in text.to_pylist()], pa.bool_())
 
     return numbered(docs).where(clean(F.col(f"c{place(docs, text_col)}").cast("string"))).toDF(*docs.columns)

@@ -74,7 +74,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     """Sequences of at most ``capacity`` tokens, packed by bounded-space online best-fit.
 
     One row a sequence: ``bin_id``; ``doc_ids``, ``pieces`` and ``lengths`` of what it holds, in order;
-    ``tokens``, the ids as little-endian 16-bit integers. Every document is tokenised whole and ended by
+    ``tokens``, the ids as little-endian integers of 16 bits, or of 32 if the vocabulary has more than 65,535. Every document is tokenised whole and ended by
     ``end_id`` (None: by nothing). A longer one is cut into pieces of ``capacity``, numbered from 0, and the
     last piece is packed. Each partition is packed as it is read, so nothing is shuffled and a lost task
     gives the same rows again; ``bin_id`` holds the partition above bit 33.

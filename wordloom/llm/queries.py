@@ -13,7 +13,8 @@ from .minhash import duplicates
 from .packing import pack
 from .quality import fit, score
 from .secrets import scan
-from .wavelet import token_shards
+from .tokens import END_ID
+from .wavelet import searched, token_shards
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,17 +30,19 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written as WARC files, a torn member before every tenth record, and read back: every page and every gap."""
-    shards = warc.write_pages(table(spark, sf_dir, "pages"), torn=lambda page: page is not None and page % 10 == 3)
+    """All pages written as WARC files, damage of nine kinds in turn before every tenth record, and read back: every page and every gap."""
+    shards = warc.write_pages(table(spark, sf_dir, "pages"), torn=lambda page: page is not None and page % 10 == 3 and warc.DAMAGE[page // 10 % len(warc.DAMAGE)])
     return warc.read_pages(warc.read_payloads(shards))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Every item of the benchmark, answers of one word included, in every document."""
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=1)
 
 
 def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards(table(spark, sf_dir, "documents"))
+    """All documents as shards, and in each, read back from its file, every place of every hundredth id of the vocabulary."""
+    return searched(token_shards(table(spark, sf_dir, "documents")), list(range(0, END_ID, 100)))
 
 
 def op7_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +71,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filters": urlfilter.sql(),
-        "op4_warc_salvage": """SELECT 'record' AS kind, page_id, url, html, CAST(NULL AS BIGINT) AS gap_bytes FROM pages
-UNION ALL SELECT 'gap', NULL, NULL, NULL, 64 FROM pages WHERE page_id % 10 = 3""",
+        "op4_warc_salvage": f"""SELECT 'record' AS kind, page_id, url, html, CAST(NULL AS BIGINT) AS gap_bytes FROM pages
+UNION ALL SELECT 'gap', NULL, NULL, NULL, [{", ".join(str(len(d)) for d in warc.DAMAGE)}][page_id // 10 % {len(warc.DAMAGE)} + 1] FROM pages WHERE page_id % 10 = 3""",
     }

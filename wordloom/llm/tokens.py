@@ -21,14 +21,18 @@ def encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    if max(ranks.values()) >= 1 << 16:
-        raise ValueError("token ids must fit 16 bits")
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(2)
+def id_kind(path: str = TOKENIZER) -> str:
+    """How an id is written: in two bytes if all ids and the free one after them fit, else in four."""
+    return "H" if encoder(path).max_token_value < (1 << 16) - 1 else "I"
+
+
 def encode(text: str | None, path: str = TOKENIZER) -> array:
-    """The ids of a text as unsigned 16-bit integers; none for null and empty texts."""
-    return array("H", encoder(path).encode_ordinary(text)) if text else array("H")
+    """The ids of a text as unsigned integers of ``id_kind(path)``; none for null and empty texts."""
+    return array(id_kind(path), encoder(path).encode_ordinary(text)) if text else array(id_kind(path))
 
 
 def decode(ids, path: str = TOKENIZER) -> str:

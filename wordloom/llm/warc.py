@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -16,9 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import plain
 
-GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
-#: Bytes read at once, and the longest header block of a record.
-CHUNK, HEAD = 1 << 20, 1 << 16
+GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/"
+#: The version lines that there have been.
+_VERSION_LINE = re.compile(rb"WARC/[01]\.\d+[ \t]*")
+#: Bytes read at once.
+CHUNK = 1 << 20
 #: Bytes inflated at once; a body longer than ``HELD`` is checked before it is held in memory; a binary value of Spark has at most ``LARGEST``.
 BLOCK, HELD, LARGEST = 1 << 16, 1 << 26, (1 << 31) - 64
 CUT, BAD = "cut short", "bad gzip member"
@@ -51,11 +56,17 @@ class Bytes:
 
 
 class File:
-    def __init__(self, uri: str) -> None:
+    """A file by its path as Spark names it, which is no URI: blanks, ``#`` and ``%`` stand for themselves."""
+
+    def __init__(self, path: str) -> None:
         from pyarrow import fs
 
-        system, path = fs.FileSystem.from_uri(uri)
-        self._file = system.open_input_file(path)
+        scheme, colon, rest = path.partition(":")
+        if not colon or "/" in scheme or scheme == "file":
+            system, at = fs.LocalFileSystem(), "/" + (rest if colon and "/" not in scheme else path).lstrip("/")
+        else:
+            system, at = fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/@:')}")
+        self._file = system.open_input_file(at)
         self.size = self._file.size()
 
     def read(self, offset: int, n: int) -> bytes:
@@ -73,26 +84,38 @@ def write_record(headers: dict[str, str], body: bytes, *, compress: bool = True,
     return z.compress(out) + z.flush()
 
 
+def _head(read: Callable[[int, int], bytes], offset: int) -> bytes:
+    """The header block at ``offset`` without its last line ends, of any length. Lines are checked as they come, so that little is read where none is."""
+    size, seen = 4096, 0
+    while True:
+        head = read(offset, size)
+        stop = head.find(b"\r\n\r\n", seen)
+        whole = head[:stop] if stop >= 0 else head[: max(head.rfind(b"\r\n"), 0)]
+        lines = whole.split(b"\r\n")
+        if not head.startswith(VERSION) or (whole and not _VERSION_LINE.fullmatch(lines[0])):
+            raise Damage("no WARC header")
+        if not all(b":" in line for line in lines[1:]):
+            raise Damage("bad header line")
+        if stop >= 0:
+            return whole
+        if len(head) < size:
+            raise Damage("no WARC header")
+        size, seen = 4 * size, max(len(head) - 3, 0)
+
+
 def _record(read: Callable[[int, int], bytes], offset: int, most: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, body and end of the plain record at ``offset``, checked."""
-    head = read(offset, 4096)
-    if (stop := head.find(b"\r\n\r\n")) < 0:
-        head = read(offset, HEAD)
-        stop = head.find(b"\r\n\r\n")
-    if not head.startswith(VERSION) or stop < 0:
-        raise Damage("no WARC header")
+    head = _head(read, offset)
     headers: dict[str, str] = {}
-    for line in head[:stop].decode("utf-8", "replace").split("\r\n")[1:]:
-        name, colon, value = line.partition(":")
-        if not colon:
-            raise Damage("bad header line")
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
         headers[name.strip().lower()] = value.strip()
     size = headers.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         raise Damage("no content length")
     if (n := int(size)) > most:
         raise Damage("record too long")
-    begin, body, sha1 = offset + stop + 4, None, hashlib.sha1()
+    begin, body, sha1 = offset + len(head) + 4, None, hashlib.sha1()
     if n <= HELD:
         body = read(begin, n)
         sha1.update(body)
@@ -351,7 +374,7 @@ def read_files(spark: SparkSession, paths: list[str], *, max_record: int = LARGE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                yield from _rows(path, salvage(File(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path), max_record=max_record))
+                yield from _rows(path, salvage(File(path), max_record=max_record))
 
     return files.mapInArrow(run, SCHEMA)
 
@@ -371,12 +394,20 @@ def read_payloads(shards: DataFrame, *, name_col: str = "source", payload_col: s
 
 #: 64 bytes of a member whose writing broke off.
 TORN = (GZIP + struct.pack("<BIBB", 0, 0, 0, 255) + hashlib.sha256(b"torn").digest() * 2)[:64]
+_SOUND = write_record({"WARC-Type": "resource", "WARC-Record-ID": "<urn:page:0>"}, b"what this record says has since changed\n" * 9, compress=False)
+_MEMBER = gzip.compress(_SOUND.replace(b"WARC-Block-Digest", b"X-Digest"), 1, mtime=0)
+#: Damage of nine kinds: a torn member; plain records with a changed body, with too short and too long a length, without their end and with a
+#: bad header line; a member that holds a record with a changed body; one with a wrong check sum; bytes that only look like beginnings.
+DAMAGE = (
+    TORN, _SOUND.replace(b"has since", b"had since", 1), _SOUND.replace(b"Content-Length: 360", b"Content-Length: 300"), _SOUND.replace(b"Content-Length: 360", b"Content-Length: 3600"), _SOUND[:-30],
+    _SOUND.replace(b"Content-Length:", b"Content-Length"), gzip.compress(_SOUND.replace(b"has since", b"had since", 1), 1, mtime=0), _MEMBER[:-8] + bytes(4) + _MEMBER[-4:], GZIP + b"WARC/1.0\r\n" + bytes(50) + b"WARC/1.1\r\n\r\n" + GZIP,
+)
 
 
-def write_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = 8 << 20, torn: Callable[[int | None], bool] | None = None) -> DataFrame:
+def write_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shard_bytes: int = 8 << 20, torn: Callable[[int | None], bool | bytes] | None = None) -> DataFrame:
     """Pages as WARC resource records: ``source`` and ``payload``, a file of about ``shard_bytes`` each. Nothing is shuffled.
 
-    ``torn`` names the pages before whose record a broken member is written, to try the reader. A null id, URL or text has no header, or an
+    ``torn`` names the pages before whose record a broken member, or the bytes that it returns, are written, to try the reader. A null id, URL or text has no header, or an
     ``X-Null`` header, and is null again in ``read_pages``. Repeated rows are written as often as they occur. Other columns are left out.
     """
 
@@ -398,8 +429,8 @@ def write_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "ur
                         headers["X-Encoded"] = "uri"
                 if html is None:
                     headers["X-Null"] = "body"
-                if torn and torn(page):
-                    held.append(TORN)
+                if torn and (damage := torn(page)):
+                    held.append(TORN if damage is True else damage)
                 held.append(write_record(headers, (html or "").encode()))
                 size += len(held[-1])
                 if size >= shard_bytes:

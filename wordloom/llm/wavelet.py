@@ -12,28 +12,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import plain, slices
-from .tokens import TOKENIZER, encode
+from .tokens import TOKENIZER, encode, id_kind
 
 SCHEMA = "shard_id bigint, n_docs int, n_tokens bigint, doc_ids array<bigint>, starts array<bigint>, payload binary"
 ARROW = pa.schema([("shard_id", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("payload", pa.binary())])
-MAGIC, LEVELS = b"WLWM0001", 16
+MAGIC = b"WLWM0002"
 #: Bits between two entries of the rank directory.
 BLOCK = 512
+#: For a byte and a number k, the place of its one number k, from the left.
+_PLACE = np.array([[*(j for j in range(8) if b >> (7 - j) & 1), *[8] * 8][:8] for b in range(256)], np.int64)
 
 
 def build(ids: np.ndarray) -> bytes:
-    """The file of a sequence of 16-bit ids.
+    """The file of a sequence of ids of up to 32 bits.
 
-    After the magic and the length, for each bit from the highest: its number of zeros, the compressed
+    After the magic, the length and the number of bits, that of the highest id, for each bit from the highest: its number of zeros, the compressed
     plane, and the compressed directory of ones before each block. Ids with a zero bit go before the others for the next plane.
     """
     import zstandard
 
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    x = np.ascontiguousarray(ids, "<u2")
-    out = [MAGIC, struct.pack("<Q", len(x))]
-    for level in range(LEVELS - 1, -1, -1):
-        ones = (x & np.uint16(1 << level)) != 0
+    x = np.ascontiguousarray(ids, "<u4")
+    levels = int(x.max()).bit_length() if len(x) else 0
+    x = x.astype("<u2") if levels <= 16 else x
+    out = [MAGIC, struct.pack("<QI", len(x), levels)]
+    for level in range(levels - 1, -1, -1):
+        ones = (x & x.dtype.type(1 << level)) != 0
         plane = np.packbits(ones)
         words = np.zeros(-(-len(x) // BLOCK) * (BLOCK // 8), np.uint8)
         words[: len(plane)] = plane
@@ -51,9 +55,9 @@ class WaveletMatrix:
     def __init__(self, payload: bytes) -> None:
         if payload[:8] != MAGIC:
             raise ValueError("this is no wavelet matrix")
-        self.n = struct.unpack_from("<Q", payload, 8)[0]
-        self.zeros, self._raw, self._planes, at = [], [], [None] * LEVELS, 16
-        for _ in range(LEVELS):
+        self.n, self.levels = struct.unpack_from("<QI", payload, 8)
+        self.zeros, self._raw, self._planes, at = [], [], [None] * self.levels, 20
+        for _ in range(self.levels):
             zeros, a, b = struct.unpack_from("<QII", payload, at)
             self.zeros.append(zeros)
             self._raw.append((payload[at + 16 : at + 16 + a], payload[at + 16 + a : at + 16 + a + b]))
@@ -90,7 +94,7 @@ class WaveletMatrix:
         if len(i) and (i.min() < 0 or i.max() >= self.n):
             raise IndexError("position outside the shard")
         out = np.zeros(len(i), np.int64)
-        for k in range(LEVELS):
+        for k in range(self.levels):
             plane, _ = self._plane(k)
             bit = (plane[i // 8] >> (7 - i % 8).astype(np.uint8)) & 1
             ones = self._ones(k, i)
@@ -98,41 +102,78 @@ class WaveletMatrix:
             i = np.where(bit == 1, self.zeros[k] + ones, i - ones)
         return out
 
-    def _range(self, token: int, start: int, stop: int) -> tuple[int, int]:
-        lo, hi = start, stop
-        for k in range(LEVELS):
-            a, b = self._ones(k, np.array([lo, hi]))
-            lo, hi = (self.zeros[k] + int(a), self.zeros[k] + int(b)) if token >> (LEVELS - 1 - k) & 1 else (lo - int(a), hi - int(b))
+    def _find(self, k: int, which: np.ndarray, bit: int) -> np.ndarray:
+        """Where plane k has its one, or zero, number ``which``: a binary search of the directory, then of a block's bytes."""
+        plane, directory = self._plane(k)
+        before = directory.astype(np.int64) if bit else np.arange(len(directory)) * BLOCK - directory
+        size = BLOCK // 8
+        out = np.empty(len(which), np.int64)
+        for a in range(0, len(which), 1 << 14):
+            part = which[a : a + (1 << 14)]
+            block = np.searchsorted(before, part, "right") - 1
+            held = plane[block[:, None] * size + np.arange(size)]
+            held = held if bit else ~held
+            sums = np.cumsum(np.bitwise_count(held), 1, dtype=np.int64)
+            rest = part - before[block]
+            byte = (sums <= rest[:, None]).sum(1)
+            row = np.arange(len(part))
+            rest -= np.where(byte > 0, sums[row, byte - 1], 0)
+            out[a : a + len(part)] = block * BLOCK + 8 * byte + _PLACE[held[row, byte], rest]
+        return out
+
+    def _ranges(self, tokens: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where, behind the last plane, the occurrences of each id between two positions lie."""
+        lo, hi = np.full(len(tokens), start), np.full(len(tokens), stop)
+        for k in range(self.levels):
+            a, b = self._ones(k, lo), self._ones(k, hi)
+            one = (tokens >> (self.levels - 1 - k) & 1) == 1
+            lo, hi = np.where(one, self.zeros[k] + a, lo - a), np.where(one, self.zeros[k] + b, hi - b)
         return lo, hi
 
+    def _known(self, tokens) -> tuple[np.ndarray, np.ndarray]:
+        tokens = np.atleast_1d(np.asarray(tokens, np.int64))
+        return tokens, (tokens >= 0) & (tokens < 1 << self.levels)
+
+    def counts(self, tokens, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """How often each of these ids occurs from ``start`` to before ``stop``; 0 for ids that no plane can hold."""
+        tokens, known = self._known(tokens)
+        lo, hi = self._ranges(tokens[known], min(max(start, 0), self.n), self.n if stop is None else min(max(stop, 0), self.n))
+        out = np.zeros(len(tokens), np.int64)
+        out[known] = np.maximum(hi - lo, 0)
+        return out
+
     def rank(self, token: int, stop: int) -> int:
         """How often the id occurs before ``stop``."""
         return self.count(token, 0, stop)
 
     def count(self, token: int, start: int = 0, stop: int | None = None) -> int:
-        if not 0 <= token < 1 << LEVELS:
-            return 0
-        lo, hi = self._range(token, min(max(start, 0), self.n), self.n if stop is None else min(max(stop, 0), self.n))
-        return max(hi - lo, 0)
+        return int(self.counts([token], start, stop)[0])
 
-    def select(self, token: int, which) -> np.ndarray:
-        """Positions of the id's occurrences number ``which``, from 0."""
-        if not 0 <= token < 1 << LEVELS:
+    def selects(self, tokens: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Positions of occurrence number ``which``, from 0, of each id."""
+        tokens, known = self._known(tokens)
+        if not known.all():
             raise IndexError("no such occurrence")
-        lo, hi = self._range(token, 0, self.n)
-        i = lo + np.atleast_1d(np.asarray(which, np.int64))
-        if len(i) and (i.min() < lo or i.max() >= hi):
+        distinct, inverse = np.unique(tokens, return_inverse=True)
+        lo, hi = (x[inverse] for x in self._ranges(distinct, 0, self.n))
+        i = lo + which
+        if len(i) and ((i < lo) | (i >= hi)).any():
             raise IndexError("no such occurrence")
-        for k in range(LEVELS - 1, -1, -1):
-            plane, _ = self._plane(k)
-            bits = np.unpackbits(plane, count=self.n)
-            i = np.flatnonzero(bits)[i - self.zeros[k]] if token >> (LEVELS - 1 - k) & 1 else np.flatnonzero(bits == 0)[i]
+        for k in range(self.levels - 1, -1, -1):
+            one = (tokens >> (self.levels - 1 - k) & 1) == 1
+            up = np.empty_like(i)
+            up[one], up[~one] = self._find(k, i[one] - self.zeros[k], 1), self._find(k, i[~one], 0)
+            i = up
         return i
 
+    def select(self, token: int, which) -> np.ndarray:
+        """Positions of the id's occurrences number ``which``, from 0."""
+        which = np.atleast_1d(np.asarray(which, np.int64))
+        return self.selects(np.full(len(which), token), which)
+
     def occurrences(self, token: int) -> np.ndarray:
         """All positions of the id, ascending."""
-        n = self.count(token)
-        return self.select(token, np.arange(n)) if n else np.zeros(0, np.int64)
+        return self.select(token, np.arange(self.count(token)))
 
 
 def token_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 1 << 21, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -149,11 +190,11 @@ def token_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         ids: list = []
         starts: list[int] = []
         parts: list = []
-        n, seq = 0, TaskContext.get().partitionId() << 33
+        n, seq, kind = 0, TaskContext.get().partitionId() << 33, {"H": "<u2", "I": "<u4"}[id_kind(tokenizer)]
 
         def row() -> pa.RecordBatch:
             nonlocal n, seq
-            tokens = np.frombuffer(b"".join(p.tobytes() for p in parts), "<u2")
+            tokens = np.frombuffer(b"".join(p.tobytes() for p in parts), kind)
             out = pa.RecordBatch.from_pylist([{"shard_id": seq, "n_docs": len(ids), "n_tokens": n, "doc_ids": ids, "starts": starts, "payload": build(tokens)}], ARROW)
             ids.clear(), starts.clear(), parts.clear()
             n, seq = 0, seq + 1
@@ -184,19 +225,24 @@ def _over(shards: DataFrame, find, schema: str, arrow: pa.Schema) -> DataFrame:
 
 
 def token_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
-    """``token_id`` and ``n`` over all shards, by rank alone; 0 for ids that don't occur."""
+    """``token_id`` and ``n`` over all shards, by rank alone; 0 for ids that don't occur.
+
+    An id named twice has one row. Without shards there are no rows. Nulls of ``doc_ids`` don't matter.
+    """
     wanted = sorted(set(tokens))
 
     def find(shard: dict) -> list[dict]:
-        matrix = WaveletMatrix(shard["payload"])
-        return [{"token_id": t, "n": matrix.count(t)} for t in wanted]
+        return [{"token_id": t, "n": n} for t, n in zip(wanted, WaveletMatrix(shard["payload"]).counts(wanted).tolist(), strict=True)]
 
-    each = _over(shards, find, "token_id int, n bigint", pa.schema([("token_id", pa.int32()), ("n", pa.int64())]))
+    each = _over(shards, find, "token_id bigint, n bigint", pa.schema([("token_id", pa.int64()), ("n", pa.int64())]))
     return each.groupBy("token_id").agg(F.sum("n").alias("n"))
 
 
 def token_occurrences(shards: DataFrame, token: int) -> DataFrame:
-    """``doc_id`` and the position in the document of every occurrence of an id, by select."""
+    """``doc_id`` and the position in the document of every occurrence of an id, by select.
+
+    A document with a null id has a null ``doc_id``; one that is held twice has its occurrences twice. Without shards, or where the id doesn't occur, there are no rows.
+    """
 
     def find(shard: dict) -> list[dict]:
         at = WaveletMatrix(shard["payload"]).occurrences(token)
@@ -208,7 +254,10 @@ def token_occurrences(shards: DataFrame, token: int) -> DataFrame:
 
 
 def document_tokens(shards: DataFrame) -> DataFrame:
-    """``doc_id`` and ``tokens`` of every document, by access."""
+    """``doc_id`` and ``tokens`` of every document, by access; a row for each time that it is held, with no tokens for null and empty texts.
+
+    A null id stays null. Without shards there are no rows.
+    """
 
     def find(shard: dict) -> list[dict]:
         matrix = WaveletMatrix(shard["payload"])
@@ -216,4 +265,35 @@ def document_tokens(shards: DataFrame) -> DataFrame:
         ends = [*shard["starts"][1:], len(ids)]
         return [{"doc_id": d, "tokens": ids[a:b]} for d, a, b in zip(shard["doc_ids"], shard["starts"], ends, strict=True)]
 
-    return _over(shards, find, "doc_id bigint, tokens array<int>", pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int32()))]))
+    return _over(shards, find, "doc_id bigint, tokens array<bigint>", pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))]))
+
+
+_FOUND = pa.list_(pa.struct([("token_id", pa.int64()), ("positions", pa.list_(pa.int64()))]))
+
+
+def searched(shards: DataFrame, tokens: list[int]) -> DataFrame:
+    """``shards`` with ``found``: for each of ``tokens`` that occurs in the shard, in order of the ids, ``token_id`` and all its ``positions``, ascending.
+
+    Each file is read back: rank counts the ids, select finds them, and access has to give them again. A null payload has a null ``found``,
+    one without any of ``tokens`` an empty one; repeated rows are searched as often as they occur, and an empty table gives no rows. All columns stay.
+    """
+    wanted = np.array(sorted(set(tokens)), np.int64)
+
+    @F.arrow_udf("array<struct<token_id: bigint, positions: array<bigint>>>")
+    def find(payload: pa.Array) -> pa.Array:
+        out = []
+        for data in payload:
+            if not data.is_valid:
+                out.append(None)
+                continue
+            matrix = WaveletMatrix(data.as_py())
+            n = matrix.counts(wanted)
+            each = np.repeat(wanted, n)
+            at = matrix.selects(each, np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n))
+            if not np.array_equal(matrix.access(at), each):
+                raise ValueError("the file contradicts itself")
+            ends = np.cumsum(n)
+            out.append([{"token_id": t, "positions": at[e - k : e].tolist()} for t, k, e in zip(wanted.tolist(), n.tolist(), ends.tolist(), strict=True) if k])
+        return pa.array(out, _FOUND)
+
+    return shards.withColumn("found", find("payload"))
