@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from wordloom.llm.audio import FILTERS, HOP, RATE, SILENCE, SPAN, STEPS, _boxes, align, bit_error, chroma, fingerprint, fingerprints, melodies, melody, recordings_alike
+from wordloom.llm.audio import FILTERS, HOP, RATE, SILENCE, SPAN, STEPS, _boxes, align, bit_error, chroma, fingerprint, fingerprints, melodies, melody, recording_classes, recordings_alike
 
 RNG = np.random.default_rng(4)
 
@@ -143,3 +143,45 @@ def test_query_finds_all_pairs(spark, sf_dir, tmp_path):
     want = set(slow_pairs({r.rec_id: np.array(r.fingerprint, np.int32).view(np.uint32) for r in rows}))
     got = {(r.rec_id, o) for r in rows for o in r.alike if r.rec_id < o}
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 20
+
+
+def test_classes_of_equal_recordings(spark):
+    """Hundreds of copies are one class, aligned once; the rest as in ``recordings_alike``."""
+    tone, other, quiet = fingerprint(song(3)).view(np.int32).tolist(), fingerprint(song(4)).view(np.int32).tolist(), [int(np.uint32(SILENCE).view(np.int32))] * 30
+    near = list(tone)
+    near[5] ^= 1
+    rows = [(k, tone, 0) for k in range(10, 310)] + [(5, near, 0), (400, other, 0), (401, other, 0), (401, other, 0), (402, quiet, 0), (403, quiet, 0), (404, None, 0), (405, [], 0), (None, tone, 0)]
+    prints = spark.createDataFrame(rows, "rec_id long, fingerprint array<int>, alike int").repartition(5)
+    found = recording_classes(prints)
+    assert found.columns == ["rec_id", "fingerprint", "class_id", "class_rows", "alike"]
+    got = {(r.rec_id, r.class_id, r.class_rows, tuple(r.alike)) for r in found.collect()}
+    assert got == {(k, 10, 300, (5,)) for k in range(10, 310)} | {(5, 5, 1, (10,)), (400, 400, 2, ()), (401, 400, 2, ())} | {(k, None, 0, ()) for k in (402, 403, 404, 405, None)}
+    assert found.count() == len(rows) and recording_classes(prints.limit(0)).count() == 0
+
+
+def test_an_hour_of_sound():
+    """In blocks as at once, and with little memory beyond the samples."""
+    import tracemalloc
+
+    short = np.concatenate([song(k) for k in range(4)])
+    n = (len(short) - 4096) // HOP + 1
+    whole = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(short.astype(np.float32), 4096)[::HOP] * np.hamming(4096).astype(np.float32), axis=1)) ** 2
+    hz = np.arange(2049) * RATE / 4096
+    use = (hz >= 55) & (hz <= 3520)
+    energy = np.stack([whole[:, use & (np.round(12 * np.log2(np.maximum(hz, 1) / 440)).astype(int) % 12 == k)].sum(1) for k in range(12)], 1)
+    smooth = sum(w * energy[k : n - 4 + k] for k, w in enumerate((0.25, 0.75, 1.0, 0.75, 0.25)))
+    assert n > 256 / 4 and np.allclose(chroma(short), smooth / np.linalg.norm(smooth, axis=1, keepdims=True), atol=1e-4)
+    hour = np.tile(short, 3600 * RATE // len(short) + 1)[: 3600 * RATE]
+    tracemalloc.start()
+    prints = fingerprint(hour)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(prints) == (len(hour) - 4096) // HOP + 1 - 4 - SPAN + 1 and peak < 100 << 20
+
+
+def test_ties_between_offsets():
+    """Of offsets with equal error the smallest counts."""
+    import wordloom.llm.audio as audio
+
+    a = np.tile(np.arange(1, 11, dtype=np.uint32), 4)
+    assert audio._best(a, a[:20], np.array([20, 10, 0]), 20) == (0.0, 0, 20) and audio._best(a, a[:20], np.array([20, 10]), 20) == (0.0, 10, 20)

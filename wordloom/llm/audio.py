@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, plain
+from .common import cut, plain, slices
 
 RATE, FRAME, HOP = 11025, 4096, 1365
+AT_ONCE = 256
 #: Frames that one filter looks over; a fingerprint has as many values less than there are frames, and one more.
 SPAN = 16
 #: Sixteen filters: kind, lowest pitch class, pitch classes, frames. What each kind sets against what is said in ``_boxes``.
@@ -38,14 +39,20 @@ def _pitch_classes() -> tuple[np.ndarray, np.ndarray]:
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
-    """Energy by pitch class of each frame, smoothed over five frames and scaled to length 1; silent frames are zero."""
+    """Energy by pitch class of each frame, smoothed over five frames and scaled to length 1; silent frames are zero.
+
+    Spectra are made of ``AT_ONCE`` frames at a time, so an hour of sound needs little more than its own samples.
+    """
     n = (len(samples) - FRAME) // HOP + 1
     if n < 5:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), FRAME)[::HOP]
+    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     bins, classes = _pitch_classes()
-    power = np.abs(np.fft.rfft(frames * np.hamming(FRAME).astype(np.float32), axis=1)[:, bins]) ** 2
-    out = (power @ classes).astype(float)
+    window = np.hamming(FRAME).astype(np.float32)
+    out = np.zeros((n, 12))
+    for k in range(0, n, AT_ONCE):
+        power = np.abs(np.fft.rfft(frames[k : k + AT_ONCE].astype(np.float32) * window, axis=1)[:, bins]) ** 2
+        out[k : k + AT_ONCE] = power @ classes
     smooth = sum(w * out[k : n - 4 + k] for k, w in enumerate((0.25, 0.75, 1.0, 0.75, 0.25)))
     norm = np.linalg.norm(smooth, axis=1, keepdims=True)
     return np.where(norm > 1e-3, smooth / np.maximum(norm, 1e-3), 0)
@@ -102,8 +109,14 @@ def melody(vector: np.ndarray, note: int = 1378) -> np.ndarray:
     return (wave.ravel() * np.float32(12000)).astype("<i2")
 
 
-def melodies(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``rec_id`` and ``audio``, 16-bit mono samples at 11,025 Hz, of every row. Null vectors have null audio; NaN counts as 0."""
+def melodies(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", per_task: int = 2048) -> DataFrame:
+    """``rec_id`` and ``audio``, 16-bit mono samples at 11,025 Hz, of every row. Null vectors have null audio, empty ones empty audio; nulls in them and NaN count as 0.
+
+    Null ids stay; repeated rows have equal audio, and an empty table gives no rows. Other columns are left out. Audio is some hundred times as large as its vector, and
+    dear to analyse, so vectors are spread evenly first, about ``per_task`` to a task.
+    """
+    held = plain(vectors, id=id_col, vector=vector_col).select("id", F.col("vector").cast("array<double>"))
+    held = held.repartition(max(1, -(-held.count() // per_task)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +125,7 @@ def melodies(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
                 audio = [None if v is None else melody([np.nan if x is None else x for x in v]).tobytes() for v in part.column("vector").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(audio, pa.binary())], ["rec_id", "audio"])
 
-    return plain(vectors, id=id_col, vector=vector_col).select("id", F.col("vector").cast("array<double>")).mapInArrow(run, "rec_id bigint, audio binary")
+    return held.mapInArrow(run, "rec_id bigint, audio binary")
 
 
 def fingerprints(recordings: DataFrame, *, id_col: str = "rec_id", audio_col: str = "audio") -> DataFrame:
@@ -124,8 +137,9 @@ def fingerprints(recordings: DataFrame, *, id_col: str = "rec_id", audio_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [None if x is None else fingerprint(np.frombuffer(x[: len(x) // 2 * 2], "<i2")).view(np.int32) for x in batch.column("audio").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(prints, pa.list_(pa.int32()))], ["rec_id", "fingerprint"])
+            for part in slices(batch, "audio"):
+                prints = [None if x is None else fingerprint(np.frombuffer(x[: len(x) // 2 * 2], "<i2")).view(np.int32) for x in part.column("audio").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints, pa.list_(pa.int32()))], ["rec_id", "fingerprint"])
 
     return plain(recordings, id=id_col, audio=audio_col).mapInArrow(run, "rec_id bigint, fingerprint array<int>")
 
@@ -172,9 +186,33 @@ def align(prints: DataFrame, *, max_error: float = 0.15, least_overlap: int = 20
 
 
 def recordings_alike(prints: DataFrame, **how) -> DataFrame:
-    """``rec_id``, ``fingerprint`` and ``alike`` of every row: the ids of all recordings that ``align`` pairs with it, in order."""
-    prints = cut(prints)
-    pairs = align(prints, **how)
+    """``rec_id``, ``fingerprint`` and ``alike`` of every row: the ids of all recordings that ``align`` pairs with it, in order.
+
+    What matches nothing has an empty list: null ids, null and empty fingerprints, silence. Rows with the same id have the same list. An empty table gives no rows.
+    Equal recordings are all in each other's lists; where there may be many, use ``recording_classes``.
+    """
+    prints = cut(plain(prints, rec_id="rec_id", fingerprint="fingerprint"))
+    return prints.join(_lists(align(prints, **how)), "rec_id", "left").select("rec_id", "fingerprint", F.coalesce("alike", F.array().cast("array<bigint>")).alias("alike"))
+
+
+def _lists(pairs: DataFrame) -> DataFrame:
     both = pairs.select(F.col("a").alias("rec_id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    lists = both.groupBy("rec_id").agg(F.array_sort(F.collect_list("other")).alias("alike"))
-    return prints.join(lists, "rec_id", "left").select("rec_id", "fingerprint", F.coalesce("alike", F.array().cast("array<bigint>")).alias("alike"))
+    return both.groupBy("rec_id").agg(F.array_sort(F.collect_list("other")).alias("alike"))
+
+
+def recording_classes(prints: DataFrame, **how) -> DataFrame:
+    """``rec_id``, ``fingerprint``, ``class_id``, ``class_rows`` and ``alike`` of every row.
+
+    Recordings with equal fingerprints are a class, named by the least id of them and counted once an id; ``alike`` names, in order, the classes that ``align`` pairs
+    with it. Each class is aligned once, however many copies it has, and copies are not told pair by pair. Null ids, null and empty fingerprints and silence
+    have no class: null, 0 and an empty list. Rows with the same id are one recording, the first by value. An empty table gives no rows.
+    """
+    prints = cut(plain(prints, rec_id="rec_id", fingerprint="fingerprint"))
+    sound = F.exists("fingerprint", lambda x: x != SILENCE)
+    each = prints.where(F.col("rec_id").isNotNull() & sound).groupBy("rec_id").agg(F.min("fingerprint").alias("fp"))
+    classes = cut(each.groupBy("fp").agg(F.min("rec_id").alias("class_id"), F.count("*").alias("class_rows")))
+    lists = _lists(align(classes.select(F.col("class_id").alias("rec_id"), F.col("fp").alias("fingerprint")), **how))
+    held = classes.join(lists.withColumnRenamed("rec_id", "class_id"), "class_id", "left")
+    of = each.join(held, "fp").select("rec_id", "class_id", "class_rows", "alike")
+    none = F.array().cast("array<bigint>")
+    return prints.join(of, "rec_id", "left").select("rec_id", "fingerprint", "class_id", F.coalesce("class_rows", F.lit(0)).alias("class_rows"), F.coalesce("alike", none).alias("alike"))

@@ -46,8 +46,8 @@ def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector played as a melody, fingerprinted, and aligned with all others."""
-    return audio.recordings_alike(audio.fingerprints(audio.melodies(table(spark, sf_dir, "embeddings"))))
+    """Every vector played as a melody and fingerprinted; each class of equal ones aligned with all others."""
+    return audio.recording_classes(audio.fingerprints(audio.melodies(table(spark, sf_dir, "embeddings"))))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
