@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 
@@ -109,3 +113,68 @@ def by_words(text):
     import re
 
     return len(re.findall(r"\w+", text))
+
+
+def slow_statistics(text):
+    """The definitions read plainly, for text whose scripts put spaces between words."""
+    data = (text or "").encode()
+    if not data:
+        return [0.0] * len(STATISTICS)
+    words = re.findall(r"\w+", text.lower())
+    own = re.findall(r"\w+", text)
+    sizes = [len(w.encode()) for w in words]
+    m, s = max(len(words), 1), len(data)
+    upper = sum(65 <= b <= 90 for b in data)
+    letters = sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in data)
+    digits = sum(48 <= b <= 57 for b in data)
+    spaces = sum(b == 32 or 9 <= b <= 13 for b in data)
+    plain = sum(chr(b) in ".,;:'\"!?-()|" for b in data)
+    lines = [tuple(re.findall(r"\w+", x.lower())) for x in text.split("\n")]
+    filled = [x for x in lines if x]
+    n_lines = len(lines)
+    shout = sum(len(w.encode()) > 1 and all("A" <= c <= "Z" for c in w[:2]) and len(w) > 1 for w in own)
+    return [
+        math.log1p(s), math.log1p(len(words)), sum(sizes) / m / 8, sum(n > 15 for n in sizes) / m, len(set(words)) / m, max(Counter(words).values(), default=0) / m, sum(a == b for a, b in zip(words, words[1:])) / m,
+        upper / max(letters, 1), digits / s, (s - letters - digits - spaces - plain) / s, data.count(b"!") / s, data.count(b"|") / s, spaces / s, sum(b >= 128 for b in data) / s, sum(b in b".?" for b in data) / m,
+        (len(filled) - len(set(filled))) / n_lines, math.log1p(s / n_lines), shout / m,
+    ]
+
+
+def test_query_against_one_matrix(spark, sf_dir):
+    """op8's query over all rows, against the whole method in one process: plain statistics, one matrix, one calibration."""
+    from wordloom.llm.queries import op8_quality_classifier
+
+    docs = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
+    x = {d: np.array(slow_statistics(t)) for d, t in docs.items()}
+    assert np.allclose(statistics(pa.array(list(docs.values()))), np.stack(list(x.values())))
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality", "CAST(pmod(xxhash64(7, doc_id), 4) AS INT) AS fold").dropna().collect()
+    held = [(x[r.doc_id], float(r.quality), r.fold) for r in labels if r.doc_id in x]
+    data, y, fold = np.stack([h[0] for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held])
+    mean, scale = data.mean(0), np.sqrt(np.maximum(data.var(0), 1e-6))
+    rng = np.random.default_rng(7)
+    waves, shift = rng.normal(0, np.sqrt(2 * 0.05), (len(STATISTICS), 256)), rng.uniform(0, 2 * np.pi, 256)
+    features = lambda v: np.append(np.cos(np.clip((v - mean) / scale, -8, 8) @ waves + shift) * np.sqrt(2 / 256), 1)
+    z = np.stack([features(v) for v in data])
+    train = fold != 0
+    weights = np.linalg.solve(z[train].T @ z[train] + 1e-3 * len(y) / 256 * np.eye(257), z[train].T @ y[train])
+    bins = ((np.clip(z @ weights, -0.5, 1.5) + 0.5) / 2 * 999).astype(int)
+    use = ~train if 0 < y[~train].sum() < (~train).sum() else np.ones(len(y), bool)
+    at = np.unique(bins[use])
+    n, good = np.array([(bins[use] == b).sum() for b in at], float), np.array([y[use][bins[use] == b].sum() for b in at])
+    chances = [max(min(good[a : b + 1].sum() / n[a : b + 1].sum() for b in range(k, len(at))) for a in range(k + 1)) for k in range(len(at))]
+    want = {d: np.interp(features(v) @ weights, at / 999 * 2 - 0.5, chances) if docs[d] else 0.0 for d, v in x.items()}
+    rows = op8_quality_classifier(spark, sf_dir).collect()
+    assert len(rows) == len(want) and all(abs(r.quality - want[r.doc_id]) < 1e-6 for r in rows)
+    assert len({r.keep for r in rows}) == 2 and all(r.keep == (want[r.doc_id] >= 0.5) for r in rows if abs(want[r.doc_id] - 0.5) > 1e-6)
+
+
+def test_equal_texts_in_any_slice(spark):
+    """Equal texts have equal scores, bit for bit, in whatever batch and beside whatever letters they are read."""
+    odd = ["\u0130stanbul", "\u212a elvin \u212a", "\u023a\u0130", "", None]
+    text = "I'm here. NASA says so.\nSame line\nsame line\n"
+    rows = [(k, text if k % 3 == 0 else odd[k % 5], 0) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x int").repartition(7)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(0, 300, 2)], "doc_id long, quality int")
+    got = [r.quality for r in score(docs, fit(docs, labels)).collect() if r.doc_id % 3 == 0]
+    assert len(got) == 100 and len(set(got)) == 1
+

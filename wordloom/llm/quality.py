@@ -147,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     text = plain(docs, id=id_col, text=text_col)
     # The sample is bounded by max_rows, whatever the tables hold, so it can be sent to all.
     held = text.join(F.broadcast(sample), "id").select("y", "fold", "text").mapInArrow(_statistics, "y double, fold int, x array<double>")
-    data = cut(held.coalesce(64))
+    # The scan keeps all its tasks; only the statistics of the sample go into partitions of even size.
+    data = cut(held.hint("rebalance"))
     width = len(STATISTICS)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
