@@ -144,3 +144,65 @@ def test_pairs_near_the_threshold_are_counted(spark):
             want |= {2 * k, 2 * k + 1}
     got = {r.doc_id for r in duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got <= want and len(got) >= 0.8 * len(want)
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Many pairs a little above one half: nine in ten at least share a bucket and are found, and none below is."""
+    rows, want = [], set()
+    for k in range(300):
+        base = [f"d{k}w{i}" for i in range(152)]  # 150 shingles
+        change = 49 if k % 3 else 52
+        near = base[: 152 - change] + [f"d{k}x{i}" for i in range(change)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+        j = jaccard(shingle_set(rows[-2][1]), shingle_set(rows[-1][1]))
+        assert (0.5 <= j < 0.51) == bool(k % 3) and j > 0.47
+        if j >= 0.5:
+            want |= {2 * k, 2 * k + 1}
+    got = {r.doc_id for r in duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_other_scripts_and_forms(spark):
+    """Punctuation of any script doesn't matter, nor does the form of letters; where no spaces are, each character is a word."""
+    import unicodedata
+
+    rng = random.Random(4)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(80))
+    plain = "he said hello there to the élan of the café and then he went “home” again, naïve as ever"
+    rows = [(1, plain), (2, plain.replace("hello there", "“hello there”").replace("and then", "— and… then")), (3, unicodedata.normalize("NFD", plain)), (4, han), (5, han[:40] + "，" + han[40:] + "。"), (6, han[:70] + "变化十个字"), (7, han[::-1])]
+    assert len({shingles(pa.array([t]))[2][0] for d, t in rows if d <= 3}) == 1
+    got = {r.doc_id: r.group_id for r in duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
+
+
+def test_word_kinds_and_lower_case():
+    """Lower case neither parts nor joins words: the quality statistics and langid rely on it."""
+    import pyarrow.compute as pc
+
+    from wordloom.llm.words import letter_kinds, word_kinds
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    low = pc.utf8_lower(pa.array([chr(c) for c in points])).to_pylist()
+    for kinds in (word_kinds(), letter_kinds()):
+        assert all(len(x) == 1 and kinds[c] == kinds[ord(x)] for c, x in zip(points, low))
+
+
+def test_perhaps_and_surely_not(spark):
+    """With few classes and with many: no key is missed, and each row is in one of the two parts."""
+    from wordloom.llm.common import perhaps
+
+    df = spark.range(2000).selectExpr("id", "xxhash64(id) AS key")
+    keys = df.where("id % 50 = 3").select("key").union(df.where("id = 3").select("key"))
+    want = {r.key for r in keys.collect()}
+    for marks in (1, 7, 1 << 22):
+        yes, no = ({r.key for r in perhaps(df, "key", keys, among=x, marks=marks).collect()} for x in (True, False))
+        assert want <= yes and not yes & no and len(yes) + len(no) == 2000
+    assert len(yes) < 60 and perhaps(df, "key", keys.limit(0), among=False).count() == 2000
+
+
+def test_repeated_and_dropped_rows_stay_in_place(spark):
+    """``keep_one`` over repeated rows, dropped ones and lone ones at once: each group leaves one, whatever its rows are."""
+    rows = [(k % 7, f"group {k % 7} has these words in it") for k in range(70)] + [(100 + k, f"row {k} stands alone w{k} x{k} y{k}") for k in range(50)] + [(100 + k, f"row {k} stands alone w{k} x{k} y{k}") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    kept = keep_one(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(7), *range(100, 150)]

@@ -9,21 +9,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, place, plain, slices
-from .words import mix, split
+from .common import cut, numbered, perhaps, place, plain, slices
+from .words import composed, mix, split
 
-SIZE, ROWS, SHINGLE, THRESHOLD = 128, 4, 3, 0.5
-#: How far from the threshold an estimate decides alone: 2.7 standard errors of 128 lanes at 0.5. Nearer ones are computed exactly.
+SIZE, ROWS, SHINGLE, THRESHOLD = 160, 4, 3, 0.5
+#: How far from the threshold an estimate decides alone: 3 standard errors of 160 lanes at 0.5. Nearer ones are computed exactly.
 MARGIN = 0.12
+#: Steps that are kept as the places drawn; from then on elements have their permutation written out.
+_SWAPS = 8
 _STEP, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint32(0xFFFFFFFF)
 
 
 def shingles(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all runs of ``width`` words, each with its text's number, in order; and a key of each text's words, 0 where it has none.
 
-    A text of fewer words is one shingle.
+    A text of fewer words is one shingle. Composed and decomposed letters are the same.
     """
-    w = split(texts)
+    w = split(composed(texts))
     n = np.bincount(w.text, minlength=len(texts))
     begin = np.cumsum(n) - n
     place = np.arange(len(w.hashes)) - begin[w.text]
@@ -47,29 +49,42 @@ def signatures(elements: np.ndarray, text: np.ndarray, n: int, size: int = SIZE)
     earlier step holds a lower value than any later step can offer, so only empty lanes take values, and a text leaves
     as soon as no lane is empty. The result is that of the element-wise algorithm with its early stopping.
     """
-    sig, empty = np.zeros((n, size), np.uint32), np.ones((n, size), bool)
-    active = np.bincount(text, minlength=n) > 0
+    out = np.zeros((n, size), np.uint32)
+    rows, text = np.unique(text, return_inverse=True)  # only texts with an empty lane are worked on
+    sig, empty = np.zeros((len(rows), size), np.uint32), np.ones((len(rows), size), bool)
     drawn: list[np.ndarray] = []
+    each = np.arange(len(elements))
     for j in range(size):
-        if j:
-            stay = active[text]
-            if not stay.all():
-                elements, text, drawn = elements[stay], text[stay], [d[stay] for d in drawn]
-        if not len(elements):
-            break
         x = mix(elements + np.uint64((j + 1) * int(_STEP) % (1 << 64)))
         lane = (j + (((x >> np.uint64(32)) * np.uint64(size - j)) >> np.uint64(32)).astype(np.int64)).astype(np.int16)
-        drawn.append(lane)
-        for t in range(j - 1, -1, -1):  # what the swaps before have put at this place
-            lane = np.where(drawn[t] == lane, np.int16(t), lane)
-        best = np.full(n * size, _TOP, np.uint32)
+        if j == _SWAPS:  # what is left is little: each element's permutation as it stands
+            places = np.tile(np.arange(size, dtype=np.int16), (len(elements), 1))
+            for t, at in enumerate(drawn):
+                places[each, at], places[each, t] = places[each, t], places[each, at]
+        if j < _SWAPS:
+            drawn.append(lane)
+            for t in range(j - 1, -1, -1):  # what the swaps before have put at this place
+                lane = np.where(drawn[t] == lane, np.int16(t), lane)
+        else:
+            at, lane = lane, places[each, lane]
+            places[each, at] = places[:, j]
+        best = np.full(len(rows) * size, _TOP, np.uint32)
         np.minimum.at(best, text * size + lane, np.minimum(x.astype(np.uint32), _TOP - np.uint32(1)))
-        best = best.reshape(n, size)
+        best = best.reshape(len(rows), size)
         new = empty & (best != _TOP)
         sig[new] = best[new]
         empty &= ~new
-        active &= empty.any(1)
-    return mix(sig.astype(np.uint64)).astype(np.uint16)
+        active = empty.any(1)
+        if not active.all():
+            out[rows[~active]] = sig[~active]
+            stay = active[text]
+            elements, text, drawn = elements[stay], (np.cumsum(active) - 1)[text[stay]], [d[stay] for d in drawn]
+            rows, sig, empty, each = rows[active], sig[active], empty[active], np.arange(len(elements))
+            places = places[stay] if j >= _SWAPS else None
+        if not len(rows):
+            break
+    out[rows] = sig
+    return mix(out.astype(np.uint64)).astype(np.uint16)
 
 
 _SKETCH = pa.schema([("id", pa.int64()), ("row_key", pa.int64()), ("node", pa.int64()), ("sig", pa.binary())])
@@ -127,11 +142,11 @@ def _sets(width: int):
 def exact(pairs: DataFrame, source: DataFrame, sketch: DataFrame, threshold: float, width: int) -> DataFrame:
     """Those of ``pairs`` whose sets of shingles have a Jaccard similarity of ``threshold`` at least, counted in full.
 
-    Texts are read again, and of each node in question one goes on; AQE sends the list of these to all only if it is small.
+    Texts are read again, and of each node in question one goes on; the others stay where they are read, but for the few that ``perhaps`` lets pass.
     """
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    rows = sketch.join(nodes, "node").groupBy("node").agg(F.min("row_key").alias("row_key"))
-    texts = source.join(rows, "row_key").dropDuplicates(["node"]).select("node", "text")
+    rows = cut(sketch.join(nodes, "node").groupBy("node").agg(F.min("row_key").alias("row_key")))
+    texts = perhaps(source, "row_key", rows, among=True).join(rows, "row_key").dropDuplicates(["node"]).select("node", "text")
     sets = cut(texts.mapInArrow(_sets(width), "node bigint, shingles array<bigint>"))
     a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -243,8 +258,8 @@ def components(links: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, size: int = SIZE, rows: int = ROWS) -> DataFrame:
     """One row for each row of ``docs``: ``id``, ``row_key``, ``grp``, ``group_id``, ``group_rows``.
 
-    Two texts are near copies if the Jaccard similarity of their sets of ``shingle``-word runs, in lower case and without
-    punctuation, is at least ``threshold``. ``size`` SuperMinHash lanes estimate it (standard error 0.044 at 0.5, less for short texts); where
+    Two texts are near copies if the Jaccard similarity of their sets of ``shingle``-word runs, in lower case, composed (NFC) and without
+    punctuation of any script, is at least ``threshold``; in scripts without spaces each character is a word. ``size`` SuperMinHash lanes estimate it (standard error 0.04 at 0.5, less for short texts); where
     the estimate is within ``MARGIN`` of the threshold, the sets themselves are compared. Texts that agree on ``rows`` lanes of a band are compared: in each bucket all with one of them, then, where
     a bucket still holds more than one group, every pair from different groups. Groups are the connected components.
     ``group_id`` is the least id of a group, ``group_rows`` its number of rows.
@@ -300,8 +315,10 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     keys = cut(keys.select(F.col("row_key").alias("__key"), "n", (F.col("row_key") == F.col("best.row_key")).alias("__stays")))
     keyed = numbered(docs)
     keyed = keyed.withColumn("__key", F.xxhash64(F.col(f"c{place(docs, id_col)}").cast("bigint"), F.col(f"c{place(docs, text_col)}").cast("string")))
-    out = keyed.join(keys.where("NOT __stays OR n > 1").select("__key").distinct(), "__key", "left_anti")
+    gone = cut(keys.where("NOT __stays OR n > 1").select("__key").distinct())
+    # Only rows that may go cross the shuffle; the rest stay where they are read.
+    out = perhaps(keyed, "__key", gone, among=False).unionByName(perhaps(keyed, "__key", gone, among=True).join(gone, "__key", "left_anti"))
     repeated = keys.where("__stays AND n > 1").select("__key")
     if not repeated.isEmpty():
-        out = out.unionByName(keyed.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
+        out = out.unionByName(perhaps(keyed, "__key", repeated, among=True).join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
     return out.drop("__key").toDF(*docs.columns)

@@ -13,7 +13,9 @@ import pyarrow.compute as pc
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_PLACE = _rng.integers(1, 1 << 63, 4096, dtype=np.uint64) | np.uint64(1)
+#: An odd number and its inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 #: Scripts that put no spaces between words; each of their characters is a word.
 UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
 
@@ -89,6 +91,12 @@ def _high(data: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return lead, size, kinds[points]
 
 
+@functools.lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse."""
+    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)))) for x in (_BASE, _BACK))
+
+
 def composed(texts: pa.Array) -> pa.Array:
     """The texts in normal form C."""
     if not len(high := raw(texts)[0]) or high.max() < 128:
@@ -120,12 +128,15 @@ def split(texts: pa.Array, lower: bool = True, kinds: np.ndarray | None = None)
     if not len(start):
         none = np.zeros(0, np.int64)
         return Words(data, offsets, np.zeros(0, np.uint64), none, none, none)
-    reach = np.diff(np.append(start, len(data)))
-    place = np.arange(start[0], len(data)) - np.repeat(start, reach)
-    body = inside[start[0] :]
-    value = np.where(body, _BYTE[data[start[0] :]] * _PLACE[place & 4095], np.uint64(0))
-    at = start - start[0]
-    length = np.add.reduceat(body.astype(np.int32), at)
-    hashes = mix(np.add.reduceat(value, at) + length.astype(np.uint64))
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    end = np.flatnonzero(last) + 1
+    # A word's hash is a polynomial of its bytes: the running sum over all bytes, with the power of its first place divided out.
+    up, down = _powers(1 << max(len(data) - 1, 0).bit_length())
+    run = np.zeros(len(data) + 1, np.uint64)
+    np.multiply(_BYTE[data], up[: len(data)], out=run[1:])
+    np.cumsum(run[1:], out=run[1:])
+    length = end - start
+    hashes = mix((run[end] - run[start]) * down[start] + length.astype(np.uint64))
     text = np.searchsorted(offsets, start, "right") - 1
-    return Words(data, offsets, hashes, text, start, length.astype(np.int64))
+    return Words(data, offsets, hashes, text, start, length)
