@@ -277,12 +277,15 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     stars = Window.partitionBy("bucket")
     shared = cut(bucket.withColumn("centre", F.min("node").over(stars)).withColumn("n", F.count("*").over(stars)).where("n > 1").drop("n"))
     pairs = shared.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    sig_a, sig_b = (nodes.select(F.col("node").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
+    # Most nodes share no bucket: their signatures stay where they are.
+    some = perhaps(nodes, "node", shared.select("node"), among=True)
+    sig_a, sig_b = (some.select(F.col("node").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
     first = cut(pairs.join(sig_b, "b").join(sig_a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_verify(threshold + MARGIN), "a bigint, b bigint"))
     roots = cut(components(first))
     grouped = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("grp"))
     mixed = grouped.groupBy("bucket").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x != y").select("bucket")
-    rest = grouped.join(mixed, "bucket", "left_semi").join(nodes, "node").select("bucket", "node", "grp", "sig")
+    open_ = cut(grouped.join(mixed, "bucket", "left_semi").select("bucket", "node", "grp"))
+    rest = open_.join(perhaps(nodes, "node", open_.select("node"), among=True), "node").select("bucket", "node", "grp", "sig")
     ordered = rest.repartition("bucket").sortWithinPartitions("bucket", "node")
     more = cut(ordered.mapInArrow(_rest(threshold + MARGIN, threshold - MARGIN), "a bigint, b bigint, sure boolean"))
     sure = cut(components(first.union(more.where("sure").select("a", "b"))))
