@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import numbered, place, plain, slices
-from .words import unspaced
+from .words import mix, powers, unspaced
 
 SCHEMA = "doc_id bigint, item_id bigint, start bigint, end bigint, words int"
 ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int32())])
@@ -55,6 +55,11 @@ def normalise(text: str, decompose: bool = False) -> tuple[str, np.ndarray]:
     Marks and format characters vanish; all else that is no letter or digit parts words. ``decompose``, as for searching: letters
     lose their own marks too, ligatures and wide letters are taken apart (NFKD), and each character of a script without spaces is a word.
     """
+    codes, at = _normalised(text, decompose)
+    return codes.tobytes().decode("utf-32-le"), at
+
+
+def _normalised(text: str, decompose: bool) -> tuple[np.ndarray, np.ndarray]:
     count, start, flat = _folds(decompose)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     many = count[points]
@@ -63,7 +68,15 @@ def normalise(text: str, decompose: bool = False) -> tuple[str, np.ndarray]:
     codes = np.concatenate(([_SPACE], codes, [_SPACE])).astype(np.uint32)
     at = np.concatenate(([-1], at, [len(points)]))
     stay = np.append(True, (codes[1:] != _SPACE) | (codes[:-1] != _SPACE))
-    return codes[stay].tobytes().decode("utf-32-le"), at[stay]
+    return codes[stay], at[stay]
+
+
+def _word_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the blanks of a normalised text, and a 64-bit hash of the word after each but the last."""
+    gaps = np.flatnonzero(codes == _SPACE)
+    up, down = powers(len(codes))
+    run = np.cumsum(codes * up[: len(codes)])
+    return gaps, mix((run[gaps[1:] - 1] - run[gaps[:-1]]) * down[gaps[:-1]])
 
 
 class Passages:
@@ -76,16 +89,19 @@ class Passages:
     def __init__(self, items: Iterable[tuple[int, str | None]], window: int, least: int) -> None:
         self.window = window
         self.items: list[int] = []
-        self.words: dict[str, int] = {}
+        numbers: dict[int, int] = {}
         self.patterns: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for item, text in items:
-            words = normalise(text or "", True)[0].split()
-            if item is None or len(words) < max(least, 1):
+            hashes = _word_hashes(_normalised(text or "", True)[0])[1].tolist()
+            if item is None or len(hashes) < max(least, 1):
                 continue
-            numbers = tuple(self.words.setdefault(w, len(self.words) + 1) for w in words)
-            for k in range(max(1, len(words) - window + 1)):
-                self.patterns[numbers[k : k + window]].append((len(self.items), k))
+            each = tuple(numbers.setdefault(h, len(numbers) + 1) for h in hashes)
+            for k in range(max(1, len(each) - window + 1)):
+                self.patterns[each[k : k + window]].append((len(self.items), k))
             self.items.append(item)
+        self.shortest = min(map(len, self.patterns), default=0)
+        self.words = np.array(sorted(numbers), np.uint64)
+        self.numbers = np.array([numbers[h] for h in self.words.tolist()], np.int64)
         self._automaton = None
 
     def __getstate__(self):
@@ -102,21 +118,30 @@ class Passages:
             self._automaton.make_automaton()
         return self._automaton
 
-    def _hits(self, flat: str) -> Iterator[tuple[int, tuple[int, list[tuple[int, int]]]]]:
-        number = self.words.get
-        return self.automaton.iter(tuple([number(w, 0) for w in flat.split()]))
+    def _hits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, int, int, list[tuple[int, int]]]]:
+        """The blanks, the last word, the number of words and the entries of each pattern found.
+
+        A pattern lies within a run of the items' words, so the automaton sees only runs as long as the shortest pattern.
+        """
+        gaps, hashes = _word_hashes(codes)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        known = np.concatenate(([False], self.words[at] == hashes, [False]))
+        edges = np.flatnonzero(known[1:] != known[:-1])
+        for a, b in edges.reshape(-1, 2)[np.diff(edges)[::2] >= self.shortest].tolist():
+            for last, (n, entries) in self.automaton.iter(tuple(self.numbers[at[a:b]].tolist())):
+                yield gaps, a + last, n, entries
 
     def touches(self, text: str | None) -> bool:
-        return bool(text and self.patterns) and next(self._hits(normalise(text, True)[0]), None) is not None
+        return bool(text and self.patterns) and next(self._hits(_normalised(text, True)[0]), None) is not None
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """Item, start, end and number of words of each passage. Windows that follow each other in both texts are one passage."""
         if not text or not self.patterns:
             return []
-        flat, places = normalise(text, True)
+        codes, places = _normalised(text, True)
         open_: dict[tuple[int, int, int], list[int]] = {}
         out = []
-        for last, (n, entries) in self._hits(flat):
+        for gaps, last, n, entries in self._hits(codes):
             first = last - n + 1
             for item, k in entries:
                 if run := open_.pop((item, first, k), None):
@@ -125,9 +150,6 @@ class Passages:
                     run = [first, last]
                     out.append((item, run))
                 open_[item, first + 1, k + 1] = run
-        if not out:
-            return []
-        gaps = np.flatnonzero(np.frombuffer(flat.encode("utf-32-le"), np.uint32) == _SPACE)
         return sorted((self.items[item], int(places[gaps[a] + 1]), int(places[gaps[b + 1] - 1]) + 1, b - a + 1) for item, (a, b) in out)
 
 

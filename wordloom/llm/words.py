@@ -91,9 +91,13 @@ def _high(data: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return lead, size, kinds[points]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers, or more, of the base and of its inverse."""
+    return _powers(max(1 << 20, 1 << max(n - 1, 0).bit_length()))
+
+
 @functools.lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse."""
     return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)))) for x in (_BASE, _BACK))
 
 
@@ -132,7 +136,7 @@ def split(texts: pa.Array, lower: bool = True, kinds: np.ndarray | None = None)
     last[:-1] &= ~inside[1:] | first[1:]
     end = np.flatnonzero(last) + 1
     # A word's hash is a polynomial of its bytes: the running sum over all bytes, with the power of its first place divided out.
-    up, down = _powers(1 << max(len(data) - 1, 0).bit_length())
+    up, down = powers(len(data))
     run = np.zeros(len(data) + 1, np.uint64)
     np.multiply(_BYTE[data], up[: len(data)], out=run[1:])
     np.cumsum(run[1:], out=run[1:])
