@@ -66,27 +66,28 @@ class WaveletMatrix:
     def __len__(self) -> int:
         return self.n
 
-    def _plane(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _plane(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of plane k, the same as words of 64 bits, and its directory."""
         if self._planes[k] is None:
             import zstandard
 
             expand = zstandard.ZstdDecompressor().decompress
             plane, directory = (np.frombuffer(expand(x), t) for x, t in zip(self._raw[k], (np.uint8, "<u4"), strict=True))
-            self._planes[k] = np.concatenate((plane, np.zeros(BLOCK // 8, np.uint8))), directory
+            plane = np.concatenate((plane, np.zeros(2 * (BLOCK // 8) - len(plane) % (BLOCK // 8), np.uint8)))
+            self._planes[k] = plane, plane.view(">u8").astype(np.uint64), directory
         return self._planes[k]
 
     def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
         """Ones of plane k before each position."""
-        plane, directory = self._plane(k)
-        block = at // BLOCK
-        out = directory[block].astype(np.int64)
-        bytes_in = (at % BLOCK) // 8
-        for j in range(BLOCK // 8):
-            if not (go := bytes_in > j).any():
+        _, words, directory = self._plane(k)
+        out = directory[at // BLOCK].astype(np.int64)
+        word = at // 64
+        for j in range(1, BLOCK // 64):
+            if not (go := word % (BLOCK // 64) >= j).any():
                 break
-            out[go] += np.bitwise_count(plane[block[go] * (BLOCK // 8) + j])
-        rest = at % 8
-        return out + np.bitwise_count(plane[at // 8] & ~(0xFF >> rest).astype(np.uint8))
+            out[go] += np.bitwise_count(words[word[go] - j])
+        # A shift by 64 is no shift at all, hence the two steps.
+        return out + np.bitwise_count(words[word] >> np.uint64(1) >> (63 - at % 64).astype(np.uint64))
 
     def access(self, at) -> np.ndarray:
         """The ids at these positions."""
@@ -95,7 +96,7 @@ class WaveletMatrix:
             raise IndexError("position outside the shard")
         out = np.zeros(len(i), np.int64)
         for k in range(self.levels):
-            plane, _ = self._plane(k)
+            plane, _, _ = self._plane(k)
             bit = (plane[i // 8] >> (7 - i % 8).astype(np.uint8)) & 1
             ones = self._ones(k, i)
             out = out << 1 | bit
@@ -103,22 +104,26 @@ class WaveletMatrix:
         return out
 
     def _find(self, k: int, which: np.ndarray, bit: int) -> np.ndarray:
-        """Where plane k has its one, or zero, number ``which``: a binary search of the directory, then of a block's bytes."""
-        plane, directory = self._plane(k)
+        """Where plane k has its one, or zero, number ``which``: a binary search of the directory, then of a block's words and a word's bytes."""
+        plane, words, directory = self._plane(k)
         before = directory.astype(np.int64) if bit else np.arange(len(directory)) * BLOCK - directory
-        size = BLOCK // 8
+
+        def into(held: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Which column of each row has the bit, and the bit's number there."""
+            sums = np.cumsum(np.bitwise_count(held if bit else ~held), 1, dtype=np.int64)
+            column = (sums <= rest[:, None]).sum(1)
+            return column, rest - np.where(column > 0, sums[np.arange(len(rest)), column - 1], 0)
+
         out = np.empty(len(which), np.int64)
-        for a in range(0, len(which), 1 << 14):
-            part = which[a : a + (1 << 14)]
+        for a in range(0, len(which), 1 << 16):
+            part = which[a : a + (1 << 16)]
             block = np.searchsorted(before, part, "right") - 1
-            held = plane[block[:, None] * size + np.arange(size)]
-            held = held if bit else ~held
-            sums = np.cumsum(np.bitwise_count(held), 1, dtype=np.int64)
-            rest = part - before[block]
-            byte = (sums <= rest[:, None]).sum(1)
-            row = np.arange(len(part))
-            rest -= np.where(byte > 0, sums[row, byte - 1], 0)
-            out[a : a + len(part)] = block * BLOCK + 8 * byte + _PLACE[held[row, byte], rest]
+            word, rest = into(words[block[:, None] * (BLOCK // 64) + np.arange(BLOCK // 64)], part - before[block])
+            word += block * (BLOCK // 64)
+            byte, rest = into(plane[word[:, None] * 8 + np.arange(8)], rest)
+            byte += word * 8
+            held = plane[byte] if bit else ~plane[byte]
+            out[a : a + len(part)] = byte * 8 + _PLACE[held, rest]
         return out
 
     def _ranges(self, tokens: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
