@@ -257,3 +257,107 @@ def test_eval_metrics(spark):
     hits = spark.createDataFrame([(1, "omission"), (2, None), (3, "addition")], "item int, category string")
     got = {r.category: (r.recall, r.label_accuracy, r.false_rate) for r in semantic.metrics(hits, gold).collect()}
     assert got == {"omission": (0.5, 1.0, None), "all": (0.5, 1.0, 0.5)}
+
+
+def test_values_at_paths():
+    tree = {"a": {"b": [1, {"c": "x"}]}, "n": None, "s": "text"}
+    assert [nested.get_value(tree, p) for p in ("a.b.1.c", "a.b.0", "a.b.7", "s.x", "none", "n")] == ["x", 1, None, None, None, None]
+    for path, value in (("a.b.1.d", 5), ("q.r.s", "new"), ("s.t", 1), ("a.b.3", "far")):
+        nested.set_value(tree, path, value)
+        assert nested.get_value(tree, path) == value
+    assert tree["a"]["b"] == [1, {"c": "x", "d": 5}, None, "far"] and tree["s"] == {"t": 1}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.text("ab", min_size=1, max_size=2), JSON, max_size=4), st.text("ab", min_size=1, max_size=2), st.text("ab.", max_size=4))
+def test_value_at_every_path(tree, key, rest):
+    for path, value in nested.flat(tree).items():
+        assert nested.get_value(tree, path) == value
+    path = ".".join(p for p in (key + "." + rest).split(".") if p)
+    nested.set_value(tree, path, "put")
+    held = nested.get_value(tree, path)
+    assert held == "put" or isinstance(tree.get(key), list)  # a word is no place in an array
+
+
+def test_empty_keys_and_deep_trees():
+    assert nested.flat({"": {"b": 1}, "x": {"": 2}}) == {"b": 1, "x.": 2} and nested.flat({"": 5}) == {"": 5}
+    deep = x = {}
+    for _ in range(5000):
+        x["k"] = {}
+        x = x["k"]
+    x["end"] = 1
+    assert list(nested.flat(deep).values()) == [1]
+
+
+def test_json_columns(spark):
+    df = spark.createDataFrame([('{"a": {"b": "é"}}', "a.b"), ("[1, 2]", "1"), ("{", "a"), (None, "a"), ('{"a": 1}', None)], "t string, p string")
+    got = [tuple(r) for r in df.coalesce(1).select(nested.json_at("t", "p"), nested.json_with("t", "p", F.lit("v")), nested.json_fault("t").isNull()).collect()]
+    assert got == [('"é"', '{"a":{"b":"v"}}', True), ("2", None, True), (None, None, False), (None, None, False), (None, None, True)]
+
+
+def test_relative_paths(spark):
+    from wordloom.functions.text import relative
+
+    rel = lambda p, root: spark.createDataFrame([(p,)], "p string").select(relative("p", root).alias("r")).first().r
+    assert [rel("/a/b/c.json", "/a/"), rel("/a/b/c.json", "/a/b"), rel("/ab/c", "/a"), rel("a\\b\\c", "a"), rel(None, "/a")] == ["b/c.json", "c.json", "/ab/c", "b/c", None]
+
+
+def test_gates(spark):
+    rates = "category string, recall double, false_rate double"
+    say = lambda rows, *g: {r.gate: r.ok for r in semantic.gates(spark.createDataFrame(rows, rates), *g).collect()}
+    good = [("all", 0.8, 0.09), ("mistranslation", 0.6, None), ("omission", 1.0, None), ("addition", 0.6, None)]
+    assert say(good, 6, 6, 0) == {"catch": True, "mistranslation recall": True, "omission recall": True, "addition recall": True, "false alarms": True, "glossary": True}
+    assert say([("all", 0.79, 0.1)], 6, 6, 1) == {"catch": False, "mistranslation recall": False, "omission recall": False, "addition recall": False, "false alarms": False, "glossary": False}
+    assert "glossary" not in say(good)
+
+
+def test_calls_and_failures_are_counted(spark):
+    """A batch is asked again once if its answer is of no use; a pass that stays so is a failure."""
+    items = spark.createDataFrame([(f"h{k}", "es", f"s{k}", "bad" if k == 0 else "t") for k in range(6)], "pair_hash string, lang string, source string, translation string").coalesce(1)
+
+    def judge(text):
+        return "no" if '"bad"' in text else '[{"id": "k0", "verdict": "ok"}]'
+
+    votes = semantic.judge_votes(items, judge, passes=3, batch=2).cache()
+    assert tuple(semantic.call_stats(votes).first()) == (3 * (2 + 1 + 1), 3) and votes.where("verdict IS NULL").count() == 6
+    assert tuple(semantic.call_stats(votes.limit(0)).first()) == (0, 0)
+
+
+def test_fallback_info(spark):
+    source = spark.createDataFrame([("n", k, k.upper(), "string") for k in ("a.x", "a.y", "b")], "ns string, path string, value string, vtype string")
+    target = spark.createDataFrame([("pt", "n", "b", "pb", "string"), ("pt-BR", "n", "a.x", "x", "string"), ("full", "n", "a.x", "1", "string"), ("full", "n", "a.y", "2", "string"), ("full", "n", "b", "3", "string")], E)
+    langs = spark.createDataFrame([("pt", None), ("pt-BR", "pt"), ("pt-PT", "pt"), ("full", None), ("xx", None)], "lang string, base string")
+    say = lambda **how: {r.lang: (r.kind, r.base, r["keys"]) for r in work.fallback_info(source, target, langs, **how).collect()}
+    assert say() == {"pt": ("keys", None, ["a"]), "pt-BR": ("keys", None, ["a.y", "b"]), "pt-PT": ("regional", "pt", None), "xx": ("source", None, None)}
+    assert say(to_source=False) == {"pt-PT": ("regional", "pt", None)} and say(regional=False)["pt-PT"] == ("source", None, None)
+
+
+def test_translator_by_prompt():
+    asked = []
+
+    def complete(text):
+        asked.append(text)
+        return 'Sorry, ["a"' if len(asked) == 1 else 'Here: ["A", "B"]'
+
+    assert work.by_prompt(complete)(["a", "b"], "es") == ["A", "B"] and len(asked) == 2
+    with pytest.raises(ValueError):
+        work.by_prompt(lambda text: "[]")(["a"], "es")
+
+
+def test_names_at_the_package():
+    import wordloom
+
+    assert len(wordloom.__all__) >= 60 and all(callable(getattr(wordloom, n)) or n in ("LANGUAGES", "TYPES") for n in wordloom.__all__)
+    with pytest.raises(AttributeError):
+        wordloom.nothing
+
+
+def test_no_list_is_sent_by_a_cross_join(spark):
+    """Languages come as one value to each row: no product of tables in the plan."""
+    from wordloom.operators.checks import in_each
+
+    few = spark.createDataFrame([("es", None), ("fr", "x"), ("fr", "x")], "lang string, base string")
+    df = in_each(spark.range(3), few)
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([(k, *x) for k in range(3) for x in (("es", None), ("fr", "x"))], key=str)
+    plan = df._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and in_each(df, few.limit(0).select(F.col("lang").alias("l"))).count() == 0

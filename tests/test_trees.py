@@ -1,5 +1,6 @@
 """Whole trees on disk: layouts, formats, reports and the command line."""
 
+import importlib
 import json
 import xml.etree.ElementTree as ET
 
@@ -144,3 +145,85 @@ def test_locks_glossary_and_command_line(spark, tmp_path, capsys):
 
 def shout(texts, lang):
     return [f"{t.upper()} {lang}" for t in texts]
+
+
+def judge_by_rule(text):
+    asked = json.loads(text[text.index('[{"id": "k0", "source"') :].split("\nThe last")[0])
+    assert not any("secret" in a["source"] for a in asked), "shown an ignored key"
+    return json.dumps([{"id": a["id"], "verdict": "omission" if a["translation"] == "corto" else "ok", "note": ""} for a in asked])
+
+
+def test_ignored_keys_are_not_reviewed(spark, tmp_path):
+    files = {"en.json": {"a": "a long text", "secret": "a secret text"}, "es.json": {"a": "corto", "secret": "corto"}}
+    r = check_tree(spark, put(tmp_path / "t", files), ignore="secret")
+    by_name = importlib.import_module("tests.test_trees").judge_by_rule  # as the workers can import it
+    out, _, counts = run_semantic(r, by_name)
+    assert [(p, t) for _, _, p, t in types(out)] == [("a", "semantic-omission")] and counts.first().judged == 1
+    assert [x.path for x in review_pairs(r, "es", 5).collect()] == ["a"]
+
+
+def test_semantic_pass_on_the_command_line(spark, tmp_path, capsys):
+    root = put(tmp_path / "t", {"en.json": {"a": "a long text", "b": "Hi {{n}}"}, "es.json": {"a": "corto", "b": "Hola"}})
+    cache = str(tmp_path / "c" / "verdicts.json")
+    args = ["check", root, "--no-locks", "--semantic", "--semantic-cache", cache, "--ignore", "b", "--format", "json", "--output", str(tmp_path / "o.json")]
+    assert cli.main([*args, "--judge", "tests.test_trees:judge_by_rule"]) == 0
+    assert "judged 1 (0 cached), flagged 1, 3 call(s), 0 discarded" in capsys.readouterr().err
+    found = [f for n in json.loads((tmp_path / "o.json").read_text())["languages"][0]["namespaces"] for f in n["findings"]]
+    assert [(f["type"], f["severity"]) for f in found] == [("semantic-omission", "warning")]
+    assert [v["category"] for v in json.loads((tmp_path / "c" / "verdicts.json").read_text()).values()] == ["omission"]
+    assert cli.main([*args, "--judge", "tests.test_trees:broken_judge", "--semantic-fail"]) == 1  # all is cached
+    assert "(1 cached), flagged 1, 0 call(s)" in capsys.readouterr().err
+    assert cli.main([*args]) == 2 and cli.main([*args, "--judge", "tests.test_trees:broken_judge", "--semantic-cache", str(tmp_path / "d.json")]) == 2
+    only = put(tmp_path / "u", {"en.json": {"b": "Hi {{n}}"}, "es.json": {"b": "Hola"}})
+    assert cli.main(["check", only, "--no-locks", "--semantic", "--semantic-cache", cache, "--judge", "tests.test_trees:judge_by_rule"]) == 1
+    assert "all 1 translated key(s)" in capsys.readouterr().err
+
+
+def broken_judge(text):
+    raise RuntimeError("no answer")
+
+
+def test_locks_are_found_by_default(spark, tmp_path, monkeypatch, capsys):
+    root = put(tmp_path / "t", {"en.json": {"b": "text"}, "es.json": {"b": "texto"}})
+    monkeypatch.chdir(tmp_path)
+    assert cli.main(["lock", root]) == 0 and (tmp_path / ".wordloom" / "locks.json").exists()
+    put(tmp_path / "t", {"es.json": {"b": "otro"}})
+    assert cli.main(["check", root, "--fail-on", "warning"]) == 1 and cli.main(["check", root, "--fail-on", "warning", "--no-locks"]) == 0
+
+
+def test_action(spark, tmp_path, capsys):
+    """What changed is translated, what was skipped stays, and the outputs say so; for a file and for a folder."""
+    put(tmp_path / "t", {"en.json": {"a": "one {x}", "b": "two changed", "brand": "Acme"}, "es.json": {"a": "uno {x}", "b": "dos", "gone": "x"}})
+    put(tmp_path / "old", {"en.json": {"a": "one {x}", "b": "two", "brand": "Acme"}})
+    step = ["action", "--source-file", str(tmp_path / "t" / "en.json"), "--target-languages", "es,fr", "--translator", "tests.test_trees:shout", "--before", str(tmp_path / "old" / "en.json"), "--skip-keys", "brand"]
+    assert cli.main(step) == 0
+    assert json.loads((tmp_path / "t" / "es.json").read_text()) == {"a": "uno {x}", "b": "TWO CHANGED es", "brand": "Acme"}
+    assert json.loads((tmp_path / "t" / "fr.json").read_text()) == {"a": "ONE {X} fr", "b": "TWO CHANGED fr", "brand": "Acme"}
+    said = dict(line.split("=", 1) for line in capsys.readouterr().out.splitlines() if "=" in line)
+    assert said["files-changed"] == "2" and said["languages"] == "es,fr" and said["verification-errors"] == "1" and said["skipped-keys-count"] == "1"
+    put(tmp_path / "n", {"en/home.json": {"h": "home"}, "es/home.json": {"h": ""}})
+    assert cli.main(["action", "--source-dir", str(tmp_path / "n" / "en"), "--target-languages", "es", "--translator", "tests.test_trees:shout"]) == 0
+    assert json.loads((tmp_path / "n" / "es" / "home.json").read_text()) == {"h": "HOME es"}
+    assert cli.main(["action", "--target-languages", "es", "--translator", "tests.test_trees:shout"]) == 2
+
+
+def test_parser_text_of_broken_files(spark, tmp_path):
+    r = check_tree(spark, put(tmp_path, {"en.json": {"a": "x"}, "es.json": '{"a": }'}))
+    assert r.findings.first().message.startswith("invalid JSON: Expecting value")
+
+
+def test_review_envelope(spark, tmp_path):
+    from wordloom.plans.tools import review
+
+    r = check_tree(spark, put(tmp_path, FLAT))
+    row = review(r, "es", 5).first()
+    assert (row.lang, row.source, row.returned, row.excluded) == ("es", "en", 1, 1) and [c.category for c in row.criteria] == ["mistranslation", "omission", "addition"]
+    assert [tuple(p) for p in row.pairs] == [("translation", "b.c", "Bye now", "Adiós")] and "data" in row.instructions
+    with pytest.raises(ValueError):
+        review(r, "ja", 5)
+
+
+def test_languages_are_ordered_as_read(spark, tmp_path):
+    files = {"en.json": {"a": "x y"}} | {f"{c}.json": {"a": "z"} for c in ("zh-TW", "zh-cn", "zh-Hans", "es")}
+    j = json.loads(reports.json_report(check_tree(spark, put(tmp_path, files))))
+    assert [x["lang"] for x in j["languages"]] == ["es", "zh-cn", "zh-Hans", "zh-TW"]

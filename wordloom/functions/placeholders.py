@@ -26,15 +26,21 @@ def placeholders(x: str | Column) -> Column:
 
     A match is blanked by as many spaces as it has characters before the next notation is searched, since the blanks can lie within a later match.
     """
-    state = F.struct(F.coalesce(col(x), F.lit("")).alias("rest"), F.array().cast("array<string>").alias("found"))
+    def step(held, number):
+        # Each pattern is a literal in a branch of its own, so that it is compiled once.
+        hits = F.lit(None).cast("array<string>")
+        for k, pattern in reversed(list(enumerate(PATTERNS))):
+            hits = F.when(number == k, F.regexp_extract_all(held["rest"], F.lit(pattern), F.lit(0))).otherwise(hits)
+
+        def blanked(found):
+            rest = F.aggregate(found, held["rest"], lambda text, hit: F.replace(text, hit, F.repeat(F.lit(" "), F.length(hit))))
+            return F.struct(rest.alias("rest"), F.concat(held["found"], found).alias("found"))
 
-    def step(held: Column, pattern: Column) -> Column:
-        hits = F.regexp_extract_all(held["rest"], pattern, F.lit(0))
-        rest = F.aggregate(hits, held["rest"], lambda text, hit: F.replace(text, hit, F.repeat(F.lit(" "), F.length(hit))))
-        return F.struct(rest.alias("rest"), F.concat(held["found"], hits).alias("found"))
+        return F.transform(F.array(hits), blanked)[0]
 
+    state = F.struct(F.coalesce(col(x), F.lit("")).alias("rest"), F.array().cast("array<string>").alias("found"))
+    found = F.aggregate(F.array(*map(F.lit, range(len(PATTERNS)))), state, step, lambda held: F.array_sort(held["found"]))
     # Most strings hold none of the three characters that begin a placeholder.
-    found = F.aggregate(F.array(*map(F.lit, PATTERNS)), state, step, lambda held: F.array_sort(held["found"]))
     return F.when(col(x).rlike(r"[{$%]"), found).otherwise(F.array().cast("array<string>"))
 
 

@@ -87,6 +87,13 @@ def xml_escape(x: str | Column) -> Column:
     return out
 
 
+def relative(path: str | Column, root: str | Column) -> Column:
+    """A path below ``root`` without it, with ``/`` between its parts; others as they are."""
+    one = lambda x: F.replace(x, F.lit("\\"), F.lit("/"))
+    p, r = one(col(path)), F.concat(F.rtrim(one(col(root) if isinstance(root, Column) else F.lit(root)), F.lit("/")), F.lit("/"))
+    return F.when(F.startswith(p, r), F.substr(p, F.length(r) + 1)).otherwise(p)
+
+
 def split_list(text: str | None) -> list[str]:
     """What lies between commas, trimmed, without empty parts."""
     return [p for p in (x.strip() for x in (text or "").split(",")) if p]

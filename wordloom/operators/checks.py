@@ -18,14 +18,25 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
+def in_each(df: DataFrame, few: DataFrame) -> DataFrame:
+    """``df`` with the columns of each row of ``few``: a list as short as that of languages, which every task has as one value.
+
+    It is one row's array, so it suits what is bounded by its kind only.
+    """
+    names = few.columns
+    held = few.agg(F.collect_set(F.struct(*(F.col(c) for c in names)))).scalar()
+    return df.withColumn("__each", F.explode(held)).select(*df.columns, *(F.col(f"__each.{c}") for c in names))
+
+
 def side_by_side(source: DataFrame, target: DataFrame, langs: DataFrame | None = None) -> DataFrame:
     """Every source key in every target language beside its translation, and translations without a source.
 
     ``source`` has ns, path, value, vtype; ``target`` has lang besides. ``langs`` names the languages (by default those of ``target``).
-    One full outer join on (lang, ns, path). The languages are a short list, so they are sent to all for the product.
+    One full outer join on (lang, ns, path).
     """
     langs = langs if langs is not None else target.select("lang").distinct()
-    s = source.select("ns", "path", F.col("value").alias("source"), F.col("vtype").alias("source_type")).crossJoin(F.broadcast(langs.select("lang")))
+    s = source.select("ns", "path", F.col("value").alias("source"), F.col("vtype").alias("source_type"))
+    s = in_each(s, langs.select("lang"))
     t = target.select("lang", "ns", "path", F.col("value").alias("translation"), F.col("vtype").alias("target_type"))
     return s.join(t, ["lang", "ns", "path"], "full_outer")
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,30 +64,34 @@ def parse_verdicts(text: str | None, ids: set[str]) -> dict[str, tuple[str, str]
 
 
 def judge_votes(items: DataFrame, judge: Callable[[str], str], *, source_lang: str = "en", passes: int = 3, batch: int = 15, glossary: str | None = None) -> DataFrame:
-    """A row for each pair and pass: verdict and note; a null verdict where a pass gave nothing usable, even when asked again.
+    """A row for each pair and pass: verdict and note; a null verdict where a pass gave nothing usable, even when asked again. ``batch`` and ``calls``
+    say which pairs were asked about together, and how often in this pass.
 
     ``judge`` answers a prompt. Pairs of a language are asked in batches of ``batch``. Judge calls are dear and may differ from
     one call to the next, so write the result before it is used twice.
     """
     if passes < 1:
         raise ValueError("at least one pass is needed")
-    schema = pa.schema([("pair_hash", pa.string()), ("pass", pa.int32()), ("verdict", pa.string()), ("note", pa.string())])
+    schema = pa.schema([("pair_hash", pa.string()), ("pass", pa.int32()), ("verdict", pa.string()), ("note", pa.string()), ("batch", pa.int64()), ("calls", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[dict]] = {}
+        numbers = itertools.count(TaskContext.get().partitionId() << 33)
 
         def ask(lang: str, rows: list[dict]) -> pa.RecordBatch:
+            number = next(numbers)
             named = [r | {"id": f"k{k}"} for k, r in enumerate(rows)]
             ids = {r["id"] for r in named}
             out = []
             for p in range(passes):
                 question = prompt(named, source_lang, lang, glossary)
-                found = parse_verdicts(judge(question), ids)
+                found, calls = parse_verdicts(judge(question), ids), 1
                 if found is None:
+                    calls = 2
                     found = parse_verdicts(judge(question + "\nThe last answer was no valid JSON array. Answer with the array alone."), ids)
                 for r in named:
                     verdict, note = (None, None) if found is None else found.get(r["id"], ("ok", ""))
-                    out.append((r["pair_hash"], p, verdict, note))
+                    out.append((r["pair_hash"], p, verdict, note, number, calls))
             return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
         for b in batches:
@@ -100,6 +106,12 @@ def judge_votes(items: DataFrame, judge: Callable[[str], str], *, source_lang: s
     return items.select("pair_hash", "lang", "source", "translation").mapInArrow(run, VOTE.replace("pass ", "`pass` "))
 
 
+def call_stats(votes: DataFrame) -> DataFrame:
+    """One row: ``calls`` of the judge, and ``parse_failures``, passes of a batch that gave nothing usable."""
+    each = votes.groupBy("batch", "pass").agg(F.first("calls").alias("calls"), F.count("verdict").alias("usable"))
+    return each.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.count_if(F.col("usable") == 0).alias("parse_failures"))
+
+
 def majority(votes: DataFrame, *, passes: int) -> DataFrame:
     """A verdict for each pair: ``category`` (null: fine), ``note``, ``votes`` for a flaw, ``valid_passes``.
 
@@ -158,3 +170,29 @@ def metrics(found: DataFrame, gold: DataFrame) -> DataFrame:
     out = each.unionByName(both.agg(*rates(F.lit("all"))))
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return out.select("*", rate("caught", "planted").alias("recall"), rate("right", "caught").alias("label_accuracy"), rate("false_alarms", "clean").alias("false_rate"))
+
+
+#: What a reviewer has to reach before it may be relied on: catch rate overall and by category at least, false alarms below.
+CATCH, RECALL, FALSE = 0.8, 0.6, 0.1
+
+
+def gates(rates: DataFrame, glossary_planted: int | None = None, glossary_caught: int = 0, glossary_false: int = 0) -> DataFrame:
+    """``gate``, ``value``, ``need`` and ``ok`` of each condition on ``metrics``; with planted glossary violations, also that all of them and nothing else were found.
+
+    A category without planted flaws has no recall, and doesn't pass.
+    """
+    spark = rates.sparkSession
+    wanted = spark.createDataFrame([(c,) for c in ("all", *CATEGORIES)], "category string")
+    held = wanted.join(rates.select("category", "recall", "false_rate"), "category", "left")
+    recall = held.select(
+        F.when(F.col("category") == "all", "catch").otherwise(F.concat("category", F.lit(" recall"))).alias("gate"), F.col("recall").alias("value"),
+        F.when(F.col("category") == "all", CATCH).otherwise(RECALL).alias("need"),
+    )
+    out = recall.withColumn("ok", F.coalesce(F.col("value") >= F.col("need"), F.lit(False)))
+    alarms = held.where("category = 'all'").select(F.lit("false alarms").alias("gate"), F.col("false_rate").alias("value"), F.lit(FALSE).alias("need"))
+    out = out.unionByName(alarms.withColumn("ok", F.coalesce(F.col("value") < F.col("need"), F.lit(False))))
+    if glossary_planted is None:
+        return out
+    ok = glossary_caught == glossary_planted and not glossary_false
+    rate = glossary_caught / glossary_planted if glossary_planted else 1.0
+    return out.unionByName(spark.createDataFrame([("glossary", rate, 1.0, ok)], "gate string, value double, need double, ok boolean"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .checks import in_each
+
 FILE_TYPES = ("missing-file", "invalid-json")
 
 
@@ -15,7 +17,7 @@ def coverage(keys, missing):
 
 def key_counts(source: DataFrame, target: DataFrame, langs: DataFrame) -> DataFrame:
     """Source and target keys by language and namespace of the source."""
-    s = source.groupBy("ns").agg(F.count("*").alias("source_keys")).crossJoin(F.broadcast(langs.select("lang")))
+    s = in_each(source.groupBy("ns").agg(F.count("*").alias("source_keys")), langs.select("lang"))
     t = target.groupBy("lang", "ns").agg(F.count("*").alias("target_keys"))
     return s.join(t, ["lang", "ns"], "left").select("lang", "ns", "source_keys", F.coalesce("target_keys", F.lit(0)).alias("target_keys"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.placeholders import minus, placeholders
 from ..functions.text import base_language, skip_regex
+from .checks import in_each
 
 KEY = ["lang", "ns", "path"]
 
@@ -20,7 +21,7 @@ def partition_work(source: DataFrame, existing: DataFrame | None, langs: DataFra
 
     Keys only in ``existing`` are dropped; a changed source is not noticed here, but by ``changed_keys`` and locks.
     """
-    s = source.select("ns", "path", "value", "vtype").crossJoin(F.broadcast(langs.select("lang")))
+    s = in_each(source.select("ns", "path", "value", "vtype"), langs.select("lang"))
     if existing is None:
         held = s.withColumns({"old": F.lit(None).cast("string"), "old_type": F.lit(None).cast("string")})
     else:
@@ -44,6 +45,19 @@ def parse_strings(text: str | None, n: int) -> list[str]:
     return [str(x) for x in held]
 
 
+def by_prompt(complete: Callable[[str], str], source_lang: str = "en") -> Callable[[list[str], str], list[str]]:
+    """A translator made of a function that answers a prompt: it is asked for a JSON array, and once more if its answer is none."""
+
+    def translator(texts: list[str], lang: str) -> list[str]:
+        question = f"Translate these {len(texts)} texts from {source_lang} into {lang}. Keep placeholders as they are. Answer with a JSON array of {len(texts)} strings only.\n{json.dumps(texts, ensure_ascii=False)}"
+        try:
+            return parse_strings(complete(question), len(texts))
+        except ValueError:
+            return parse_strings(complete(question + "\nThe last answer was no such array. Answer with the array alone."), len(texts))
+
+    return translator
+
+
 def translate(work: DataFrame, translator: Callable[[list[str], str], list[str]], *, batch: int = 40, isolate: bool = False) -> DataFrame:
     """``work`` with ``result`` filled where the action is translate: ``translator(texts, lang)`` gives as many texts, in order.
 
@@ -118,7 +132,7 @@ def missing_keys(source: DataFrame, target: DataFrame, langs: DataFrame) -> Data
     first_number = lambda p: F.array_position(F.transform(parts(p), lambda x: x.rlike(r"\A[0-9]+\z")), F.lit(True))
     unit = lambda p: F.when(first_number(p) > 1, F.array_join(F.slice(parts(p), F.lit(1), first_number(p).cast("int") - 1), ".")).otherwise(p)
     prefixes = lambda p: F.transform(F.sequence(F.lit(1), F.size(parts(p))), lambda k: F.array_join(F.slice(parts(p), F.lit(1), k), "."))
-    want = source.select("ns", unit(F.col("path")).alias("path")).distinct().crossJoin(F.broadcast(langs.select("lang")))
+    want = in_each(source.select("ns", unit(F.col("path")).alias("path")).distinct(), langs.select("lang"))
     have = usable.select("lang", "ns", F.explode(prefixes(F.col("path"))).alias("path")).distinct()
     lost = want.join(have, KEY, "left_anti")
     above = lost.select(*KEY, F.posexplode(prefixes(F.col("path"))).alias("depth", "prefix"))
@@ -138,7 +152,7 @@ def fill_from_fallbacks(source: DataFrame, target: DataFrame, targets: DataFrame
     full = target.select("lang").distinct().withColumn("has", F.lit(True))
     langs = targets.select("lang", F.col("base") if regional else F.lit(None).cast("string").alias("base")).join(full, "lang", "left")
     langs = langs.join(full.select(F.col("lang").alias("base"), F.lit(True).alias("base_has")), "base", "left")
-    want = source.select("ns", "path", F.struct("value", "vtype").alias("src")).crossJoin(F.broadcast(langs))
+    want = in_each(source.select("ns", "path", F.struct("value", "vtype").alias("src")), langs)
     held = want.join(own, KEY, "left").join(base, ["base", "ns", "path"], "left")
     whole_base = F.col("has").isNull() & F.col("base_has").isNotNull()
     picked = (
@@ -149,6 +163,25 @@ def fill_from_fallbacks(source: DataFrame, target: DataFrame, targets: DataFrame
     return held.select(*KEY, picked.alias("x")).where("x IS NOT NULL").select(*KEY, "x.*")
 
 
+def fallback_info(source: DataFrame, target: DataFrame, targets: DataFrame, *, to_source: bool = True, regional: bool = True) -> DataFrame:
+    """What ``fill_from_fallbacks`` falls back to: a row for each language that does.
+
+    ``kind`` is ``regional`` (the whole language is that of ``base``), ``source`` (all of it is the source) or ``keys``: the ``keys`` that had no usable translation,
+    each under its topmost missing ancestor. Languages that need nothing have no row.
+    """
+    has = target.select("lang").distinct()
+    langs = targets.select("lang", F.col("base") if regional else F.lit(None).cast("string").alias("base"))
+    empty = langs.join(has, "lang", "left_anti").join(has.select(F.col("lang").alias("base"), F.lit(True).alias("there")), "base", "left")
+    kind = F.when(F.col("there"), "regional").when(F.lit(to_source), "source")
+    none = F.lit(None).cast("array<string>")
+    whole = empty.select("lang", kind.alias("kind"), F.when(F.col("there"), F.col("base")).alias("base"), none.alias("keys")).where("kind IS NOT NULL")
+    if not to_source:
+        return whole
+    held = missing_keys(source, target, langs.join(has, "lang", "left_semi").select("lang"))
+    keys = held.groupBy("lang").agg(F.array_sort(F.collect_set("top")).alias("keys"))
+    return whole.unionByName(keys.select("lang", F.lit("keys").alias("kind"), F.lit(None).cast("string").alias("base"), "keys"))
+
+
 def changed_keys(old: DataFrame, new: DataFrame, key: list[str], value: str = "value") -> DataFrame:
     """What was added, modified or deleted between two snapshots."""
     both = old.select(*key, F.struct(F.col(value)).alias("o")).join(new.select(*key, F.struct(F.col(value)).alias("n")), key, "full_outer")
@@ -185,7 +218,12 @@ def verify(source: DataFrame, target: DataFrame, langs: DataFrame, *, shortest:
     The bounds of the length ratio, for sources of at least ``least`` characters, are this engine's own.
     """
     t = target.select(*KEY, F.col("value").alias("translation"))
-    held = source.where("vtype = 'string'").select("ns", "path", F.col("value").alias("source")).crossJoin(F.broadcast(langs.select("lang"))).join(t, KEY, "left")
+    pairs = in_each(source.where("vtype = 'string'").select("ns", "path", F.col("value").alias("source")), langs.select("lang")).join(t, KEY, "left")
+    return verify_pairs(pairs, shortest=shortest, longest=longest, least=least)
+
+
+def verify_pairs(held: DataFrame, *, shortest: float = 0.3, longest: float = 3.0, least: int = 10) -> DataFrame:
+    """The same for rows that have both texts; see ``verify``."""
     lost = minus(placeholders("source"), placeholders("translation"))
     ratio = F.length("translation") / F.length("source")
     say = lambda kind, severity, message: F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), message.alias("message"))

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import shared_dir
+from ..functions.text import is_ignored
 from ..operators import semantic, stats
 from ..operators.checks import checkable, pair_findings, side_by_side, text_pairs, without_ignored
 from ..operators.glossary import glossary_findings
@@ -23,6 +25,7 @@ class Result(NamedTuple):
     namespaces: DataFrame
     languages: DataFrame
     verdict: DataFrame
+    review: DataFrame | None = None
 
 
 def check_tables(source: DataFrame, target: DataFrame, langs: DataFrame | None = None, *, terms: DataFrame | None = None, locks: DataFrame | None = None) -> DataFrame:
@@ -52,14 +55,15 @@ def check_tree(spark: SparkSession, path: str | Tree, source_lang: str = "en", *
     langs = tree.files.where("NOT is_source").select("lang").distinct()
     present = tree.files.where("NOT is_source AND status = 'ok'").select("lang", "ns").distinct()
     # Catalogs and ARB bundles have one namespace for all, so every language has it.
-    pairs = side_by_side(tree.source, tree.target, langs).join(F.broadcast(present), ["lang", "ns"], "left_semi")
+    pairs = side_by_side(tree.source, tree.target, langs).join(present, ["lang", "ns"], "left_semi")
     found = pair_findings(pairs).unionByName(tree.findings)
     if terms is not None:
         found = found.unionByName(glossary_findings(checkable(pairs).select("lang", "ns", "path", "source", "translation"), terms))
     if locks is not None and tree.layout in ("flat", "nested"):
         found = found.unionByName(lock_findings(text_pairs(pairs), locks))
     found = without_ignored(found, ignore)
-    return _result(tree.layout, tree.source_lang, tree.files, pairs, found, stats.key_counts(tree.source, tree.target, langs), fail_on, min_coverage)
+    # Ignored keys are not shown to reviewers either.
+    return _result(tree.layout, tree.source_lang, tree.files, pairs.where(~is_ignored(ignore)), found, stats.key_counts(tree.source, tree.target, langs), fail_on, min_coverage)
 
 
 def _result(layout, source_lang, files, pairs, found, counts, fail_on, min_coverage) -> Result:
@@ -69,18 +73,16 @@ def _result(layout, source_lang, files, pairs, found, counts, fail_on, min_cover
 
 
 def run_semantic(result: Result, judge, *, passes: int = 3, batch: int = 15, cache: DataFrame | None = None, fail: bool = False, model: str | None = None, glossary: str | None = None, fail_on: str = "error", min_coverage: float | None = None) -> tuple[Result, DataFrame, DataFrame]:
-    """Add the reviewers' findings. Also returns the new verdicts, to be cached, and counts of what was judged.
+    """Add the reviewers' findings. Also returns the new verdicts, to be cached, and counts of what was judged. The result's ``review`` has these counts with
+    those of ``call_stats``, and ``excluded``: pairs left out for their structural errors.
 
     Pairs with structural errors are left out, equal pairs are judged once, and cached ones not at all. The votes are written before
     use, since asking twice may give other answers: the session needs a checkpoint folder.
     """
     spark = result.findings.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(named)
-    pairs = semantic.reviewable(text_pairs(result.pairs), result.findings, source_lang=result.source_lang, model=model, glossary=glossary)
+    shared_dir(spark)
+    texts = text_pairs(result.pairs)
+    pairs = semantic.reviewable(texts, result.findings, source_lang=result.source_lang, model=model, glossary=glossary)
     votes = semantic.judge_votes(semantic.to_judge(pairs, cache), judge, source_lang=result.source_lang, passes=passes, batch=batch, glossary=glossary).checkpoint()
     new = semantic.majority(votes, passes=passes)
     known = semantic.cacheable(new)
@@ -88,4 +90,8 @@ def run_semantic(result: Result, judge, *, passes: int = 3, batch: int = 15, cac
     found = result.findings.unionByName(semantic.semantic_findings(pairs, every, fail=fail))
     counts = result.namespaces.select("lang", "ns", "source_keys", "target_keys")
     out = _result(result.layout, result.source_lang, result.files, result.pairs, found, counts, fail_on, min_coverage)
-    return out, known, semantic.review_stats(pairs, known, cache)
+    calls = semantic.call_stats(votes)
+    excluded = texts.select("lang", "ns", "path").join(result.findings.where("severity = 'error'"), ["lang", "ns", "path"], "left_semi").agg(F.count("*"))
+    judged = semantic.review_stats(pairs, known, cache)
+    review = judged.select("*", calls.select("calls").scalar().alias("calls"), calls.select("parse_failures").scalar().alias("parse_failures"), excluded.scalar().alias("excluded"))
+    return out._replace(review=review), known, judged

@@ -16,7 +16,7 @@ from .operators import semantic, stats
 from .operators import translate as work
 from .operators.checks import checkable, pair_findings, side_by_side, text_pairs, without_ignored
 from .operators.glossary import glossary, glossary_findings
-from .operators.locks import lock_findings, merge_locks, new_locks
+from .operators.locks import CLOBBERED, STALE, lock_findings, merge_locks, new_locks
 from .plans import tools
 from .plans.check import check_tables
 from .sinks.reports import junit_cases, rule_indexes, sarif_rows, top_findings
@@ -251,10 +251,9 @@ def glossary_locked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _glossary(spark, sf_dir, False)
 
 
-@query(f"SELECT lang, count(*) AS violations, count(DISTINCT message) AS messages FROM (SELECT * FROM {_DNT} g UNION ALL SELECT * FROM {_TERM} h) x GROUP BY lang")
+@query(f"SELECT lang, count(*) AS violations, string_agg(DISTINCT message, ' | ' ORDER BY message) AS messages FROM (SELECT * FROM {_DNT} g UNION ALL SELECT * FROM {_TERM} h) x GROUP BY lang")
 def glossary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = glossary_findings(checkable(_pairs(spark, sf_dir)), glossary(spark, GLOSSARY))
-    return found.groupBy("lang").agg(F.count("*").alias("violations"), F.countDistinct("message").alias("messages"))
+    return tools.check_glossary(checkable(_pairs(spark, sf_dir)), glossary(spark, GLOSSARY)).withColumn("messages", F.array_join("messages", " | "))
 
 
 @query(f"SELECT {_KEYS}, lang || '::' || ns || '::' || path AS id, {_SHA16.format('source')} AS source_hash, {_SHA16.format('translation')} AS translation_hash FROM {_TEXTS} p")
@@ -263,15 +262,17 @@ def lock_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.withColumn("id", lock_id("lang", "ns", "path")).select("lang", "ns", "path", "id", "source_hash", "translation_hash")
 
 
-@query(f"""SELECT lang, count(*) AS total, count(*) FILTER (WHERE NOT known) AS added, count(*) FILTER (WHERE known AND changed) AS refreshed FROM (
-SELECT p.lang, k.path IS NOT NULL AS known, k.source_hash <> {_SHA16.format("p.source")} OR k.translation_hash <> {_SHA16.format("p.translation")} AS changed
-FROM (SELECT * FROM {_TEXTS} p WHERE regexp_full_match(path, 'part\\.1.*')) p FULL JOIN {_LOCKS} k ON p.lang = k.lang AND p.ns = k.ns AND p.path = k.path WHERE p.path IS NOT NULL) x GROUP BY lang""")
+@query(f"""SELECT lang, count(*) AS total, count(*) FILTER (WHERE NOT known) AS added, count(*) FILTER (WHERE NOT fresh) AS kept, count(*) FILTER (WHERE fresh AND known AND changed) AS refreshed FROM (
+SELECT coalesce(p.lang, k.lang) AS lang, p.path IS NOT NULL AS fresh, k.path IS NOT NULL AS known, k.source_hash <> {_SHA16.format("p.source")} OR k.translation_hash <> {_SHA16.format("p.translation")} AS changed
+FROM (SELECT * FROM {_TEXTS} p WHERE regexp_full_match(path, 'part\\.1.*')) p FULL JOIN {_LOCKS} k ON p.lang = k.lang AND p.ns = k.ns AND p.path = k.path) x GROUP BY lang""")
 def lock_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = _locks(spark, sf_dir)
     new = new_locks(text_pairs(_pairs(spark, sf_dir)), keys="part.1*")
-    out = merge_locks(old, new).join(new.select("lang", "ns", "path"), ["lang", "ns", "path"], "left_semi")
-    was = old.select("lang", "ns", "path", F.col("source_hash").alias("s"), F.col("translation_hash").alias("t"))
-    return out.join(was, ["lang", "ns", "path"], "left").groupBy("lang").agg(F.count("*").alias("total"), F.count_if("added").alias("added"), F.count_if((F.col("s") != F.col("source_hash")) | (F.col("t") != F.col("translation_hash"))).alias("refreshed"))
+    key = ["lang", "ns", "path"]
+    was = old.select(*key, F.col("source_hash").alias("s"), F.col("translation_hash").alias("t"))
+    held = merge_locks(old, new).join(was, key, "left").join(new.select(*key, F.lit(True).alias("fresh")), key, "left")
+    changed = (F.col("s") != F.col("source_hash")) | (F.col("t") != F.col("translation_hash"))
+    return held.groupBy("lang").agg(F.count("*").alias("total"), F.count_if("added").alias("added"), F.count_if(F.col("fresh").isNull()).alias("kept"), F.count_if(changed).alias("refreshed"))
 
 
 def _locks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,27 +280,27 @@ def _locks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lock(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return lock_findings(text_pairs(_pairs(spark, sf_dir)), _locks(spark, sf_dir)).where(F.col("type") == kind).select("lang", "ns", "path", "type", "severity")
+    return lock_findings(text_pairs(_pairs(spark, sf_dir)), _locks(spark, sf_dir)).where(F.col("type") == kind).select("lang", "ns", "path", "type", "severity", "message")
 
 
 _CLOBBERED = f"{_SHA16.format('p.translation')} <> k.translation_hash"
 _LOCK_JOIN = f"FROM {_TEXTS} p JOIN {_LOCKS} k ON p.lang = k.lang AND p.ns = k.ns AND p.path = k.path"
 
 
-@query(f"SELECT p.lang, p.ns, p.path, 'manual-translation-clobbered' AS type, 'warning' AS severity {_LOCK_JOIN} WHERE {_CLOBBERED}")
+@query(f"SELECT p.lang, p.ns, p.path, 'manual-translation-clobbered' AS type, 'warning' AS severity, '{CLOBBERED}' AS message {_LOCK_JOIN} WHERE {_CLOBBERED}")
 def lock_clobbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lock(spark, sf_dir, "manual-translation-clobbered")
 
 
-@query(f"SELECT p.lang, p.ns, p.path, 'manual-translation-stale' AS type, 'warning' AS severity {_LOCK_JOIN} WHERE NOT ({_CLOBBERED}) AND {_SHA16.format('p.source')} <> k.source_hash")
+@query(f"SELECT p.lang, p.ns, p.path, 'manual-translation-stale' AS type, 'warning' AS severity, '{STALE}' AS message {_LOCK_JOIN} WHERE NOT ({_CLOBBERED}) AND {_SHA16.format('p.source')} <> k.source_hash")
 def lock_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lock(spark, sf_dir, "manual-translation-stale")
 
 
-@query(f"SELECT type, count(*) AS n FROM (SELECT type FROM {_FINDINGS} f UNION ALL SELECT type FROM {_DNT} g UNION ALL SELECT type FROM {_TERM} h UNION ALL SELECT CASE WHEN {_CLOBBERED} THEN 'manual-translation-clobbered' WHEN {_SHA16.format('p.source')} <> k.source_hash THEN 'manual-translation-stale' END {_LOCK_JOIN}) x WHERE type IS NOT NULL GROUP BY type")
+@query(f"SELECT * FROM (SELECT {_KEYS}, type, severity FROM {_FINDINGS} f UNION ALL SELECT {_KEYS}, type, severity FROM {_DNT} g UNION ALL SELECT {_KEYS}, type, severity FROM {_TERM} h UNION ALL SELECT p.lang, p.ns, p.path, CASE WHEN {_CLOBBERED} THEN 'manual-translation-clobbered' WHEN {_SHA16.format('p.source')} <> k.source_hash THEN 'manual-translation-stale' END, 'warning' {_LOCK_JOIN}) x WHERE type IS NOT NULL")
 def full_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = check_tables(load(spark, sf_dir, "source"), load(spark, sf_dir, "target"), load(spark, sf_dir, "langs"), terms=glossary(spark, GLOSSARY), locks=_locks(spark, sf_dir))
-    return found.groupBy("type").agg(F.count("*").alias("n"))
+    return found.select("lang", "ns", "path", "type", "severity")
 
 
 # Queries: semantic review
@@ -481,16 +482,17 @@ def _order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("o_orderkey", F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_totalprice").alias("total"), (F.col("o_totalprice") > 100000).alias("large")).alias("price"), "lines")).alias("doc"))
 
 
-@query(f"""SELECT o_orderkey, 'status' AS path, o_orderstatus AS value, 'string' AS vtype FROM orders
+@query(f"""SELECT *, NULL AS cents FROM (SELECT o_orderkey, 'status' AS path, o_orderstatus AS value, 'string' AS vtype FROM orders
 UNION ALL SELECT o_orderkey, 'price.large', CAST(o_totalprice > 100000 AS VARCHAR), 'boolean' FROM orders
-UNION ALL SELECT o_orderkey, 'price.total', NULL, 'number' FROM orders
 UNION ALL SELECT l_orderkey, 'lines.' || i || '.n', CAST(l_linenumber AS VARCHAR), 'number' FROM ({_LINES}) l JOIN orders ON l_orderkey = o_orderkey
 UNION ALL SELECT l_orderkey, 'lines.' || i || '.qty', CAST(l_quantity AS VARCHAR), 'number' FROM ({_LINES}) l JOIN orders ON l_orderkey = o_orderkey
-UNION ALL SELECT l_orderkey, 'lines.' || i || '.flag', l_returnflag, 'string' FROM ({_LINES}) l JOIN orders ON l_orderkey = o_orderkey""")
+UNION ALL SELECT l_orderkey, 'lines.' || i || '.flag', l_returnflag, 'string' FROM ({_LINES}) l JOIN orders ON l_orderkey = o_orderkey) x
+UNION ALL SELECT o_orderkey, 'price.total', NULL, 'number', CAST(round(o_totalprice * 100) AS BIGINT) FROM orders""")
 def flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # How a price is written differs between engines, so only its type is compared.
+    # How a price is written differs between engines, so it is compared in cents.
     out = flatten(_order_json(spark, sf_dir), "doc", "o_orderkey")
-    return out.withColumn("value", F.when(F.col("path") != "price.total", F.col("value")))
+    price = F.col("path") == "price.total"
+    return out.withColumns({"cents": F.when(price, F.round(F.col("value").cast("double") * 100).cast("bigint")), "value": F.when(~price, F.col("value"))})
 
 
 @query()
@@ -556,7 +558,20 @@ def junit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return junit_cases(_spaces(spark, sf_dir), _findings(spark, sf_dir)).select("lang", "ns", "failed")
 
 
-@query()
+def _escaped(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&apos;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+_HEAD = "path || ': ' || type || ' — ' || message"
+_SHOWN = f"{_HEAD} || coalesce(chr(10) || '  source:      ' || source, '') || coalesce(chr(10) || '  translation: ' || translation, '')"
+
+
+@query(f"""SELECT lang, ns, errors > 0 AS failed, CASE WHEN body = '' THEN tag || '/>' ELSE tag || '>' || chr(10) || body || '    </testcase>' END AS xml FROM (SELECT *, '    <testcase classname="' || {_escaped("lang")} || '" name="' || {_escaped("ns")} || '"' AS tag,
+  CASE WHEN errors > 0 THEN '      <failure message="' || errors || ' error(s) in ' || {_escaped("lang || '/' || ns")} || '">' || {_escaped("bad")} || '</failure>' || chr(10) ELSE '' END || CASE WHEN length(odd) > 0 THEN '      <system-out>' || {_escaped("odd")} || '</system-out>' || chr(10) ELSE '' END AS body
+FROM (SELECT n.lang, n.ns, count(*) FILTER (WHERE severity = 'error') AS errors, string_agg({_SHOWN}, chr(10) ORDER BY path, type, {_SHOWN}) FILTER (WHERE severity = 'error') AS bad, string_agg({_HEAD}, chr(10) ORDER BY path, type, {_HEAD}) FILTER (WHERE severity = 'warning') AS odd
+FROM {_ns_stats(_FINDINGS)} n LEFT JOIN (SELECT * FROM {_FINDINGS} f) f ON f.lang = n.lang AND f.ns = n.ns GROUP BY n.lang, n.ns) x) y""")
 def junit_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return junit_cases(_spaces(spark, sf_dir), _findings(spark, sf_dir))
 
@@ -567,10 +582,14 @@ def key_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_io  # noqa: F401, registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_io  # noqa: F401
+
     return dict(_SQL)
 
 

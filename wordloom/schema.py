@@ -1,11 +1,9 @@
 """Columns of the tables that the operators pass to each other."""
 
-ENTRY = "catalog string, lang string, ns string, path string, value string, vtype string"
-FILE = "catalog string, lang string, ns string, file string, layout string, is_source boolean, status string, error string"
 FINDING = "lang string, ns string, path string, type string, severity string, message string, source string, translation string"
 LOCK = "lang string, ns string, path string, source_hash string, translation_hash string"
 VERDICT = "pair_hash string, category string, note string"
-VOTE = "pair_hash string, pass int, verdict string, note string"
+VOTE = "pair_hash string, pass int, verdict string, note string, batch bigint, calls int"
 FINDING_COLUMNS = [c.split()[0] for c in FINDING.split(", ")]
 
 #: What each finding type says about a translation.

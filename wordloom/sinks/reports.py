@@ -12,6 +12,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import files as fs
 from ..functions.nested import unflatten
 from ..functions.text import lock_id, xml_escape
 from ..operators.stats import one_decimal
@@ -23,6 +24,11 @@ if TYPE_CHECKING:
 TOOL = "wordloom-check"
 
 
+def by_name(column: str):
+    """To order names as readers do, not by bytes."""
+    return F.collate(column, "UNICODE")
+
+
 def ranked(findings: DataFrame) -> DataFrame:
     """Findings with their place in the language's list, and the list's length."""
     w = Window.partitionBy("lang")
@@ -38,7 +44,7 @@ def text_report(result: Result, most: int = 50) -> str:
     ok = result.verdict.first()
     rows = top_findings(result.findings, most).orderBy("lang", "place").collect()
     out = [f"{TOOL}: {result.layout} layout, source {result.source_lang}", ""]
-    for lang in result.languages.withColumn("percent", one_decimal(F.col("coverage"))).orderBy("lang").collect():
+    for lang in result.languages.withColumn("percent", one_decimal(F.col("coverage"))).orderBy(by_name("lang")).collect():
         out.append(f"{lang.lang}  coverage {lang.percent}%  {lang.errors} error(s), {lang.warnings} warning(s)")
         mine = [r for r in rows if r.lang == lang.lang]
         out += [f"    {r.severity}  {r.path if result.layout == 'flat' else f'{r.ns}:{r.path}'}  {r.type}: {r.message}" for r in mine]
@@ -51,7 +57,7 @@ def json_report(result: Result) -> str:
     """Languages with namespaces with findings, the totals and the verdict."""
     found = result.findings.groupBy("lang", "ns").agg(F.array_sort(F.collect_list(F.struct("path", "type", "severity", "message", "source", "translation"))).alias("findings"))
     spaces = result.namespaces.join(found, ["lang", "ns"], "left").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("ns", "source_keys", "target_keys", "missing", "errors", "warnings", "coverage", F.coalesce("findings", F.array()).alias("findings")))).alias("namespaces"))
-    rows = result.languages.join(spaces, "lang", "left").orderBy("lang").select(F.to_json(F.struct("*")).alias("j")).collect()
+    rows = result.languages.join(spaces, "lang", "left").orderBy(by_name("lang")).select(F.to_json(F.struct("*")).alias("j")).collect()
     v = result.verdict.first()
     return json.dumps({"layout": result.layout, "source": result.source_lang, "languages": [json.loads(r.j) for r in rows], "totals": {"errors": v.errors, "warnings": v.warnings}, "ok": v.ok, "failures": v.failures}, ensure_ascii=False, indent=2)
 
@@ -62,20 +68,24 @@ def rule_indexes(findings: DataFrame) -> DataFrame:
     return used.withColumn("rule_index", F.row_number().over(Window.orderBy("type")) - 1)  # one row a type, 17 at most
 
 
+#: The order of SARIF results.
+SARIF_ORDER = ("uri", "path", "rule_id", "lang", "text")
+
+
 def sarif_rows(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """SARIF results in their order: by file, path and type."""
+    """SARIF results: a row for each finding, with its file and the place of its type among those that occur. A document has them in ``SARIF_ORDER``."""
     held = findings.join(files.where("NOT is_source").select("lang", "ns", "file"), ["lang", "ns"], "left")
-    rows = held.join(F.broadcast(rule_indexes(findings)), "type")
+    rows = held.join(F.broadcast(rule_indexes(findings)), "type")  # one row a type, 17 at most
     message = F.concat(F.lit("["), "lang", F.lit("] "), "path", F.lit(": "), "message")
     uri = F.replace(F.coalesce("file", F.lit("")), F.lit("\\"), F.lit("/"))
-    return rows.select(uri.alias("uri"), "path", F.col("type").alias("rule_id"), "rule_index", F.col("severity").alias("level"), message.alias("text"), "lang").orderBy("uri", "path", "rule_id", "lang", "text")
+    return rows.select(uri.alias("uri"), "path", F.col("type").alias("rule_id"), "rule_index", F.col("severity").alias("level"), message.alias("text"), "lang")
 
 
 def sarif_report(result: Result, version: str = "0.0.0") -> str:
     rules = rule_indexes(result.findings).orderBy("rule_index").collect()
     results = [
         {"ruleId": r.rule_id, "ruleIndex": r.rule_index, "level": r.level, "message": {"text": r.text}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r.uri}}}]}
-        for r in sarif_rows(result.findings, result.files).toLocalIterator()
+        for r in sarif_rows(result.findings, result.files).orderBy(*SARIF_ORDER).toLocalIterator()
     ]
     driver = {"name": TOOL, "version": version, "rules": [{"id": r.type, "shortDescription": {"text": TYPES.get(r.type, r.type)}} for r in rules]}
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}, ensure_ascii=False, indent=2)
@@ -98,7 +108,7 @@ def junit_cases(namespaces: DataFrame, findings: DataFrame) -> DataFrame:
 
 def junit_report(result: Result) -> str:
     suites = junit_cases(result.namespaces, result.findings).groupBy("lang").agg(F.count("*").alias("tests"), F.count_if("failed").alias("failures"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ns", "xml"))), lambda x: x["xml"]), "\n").alias("cases"))
-    rows = suites.withColumn("name", xml_escape("lang")).orderBy("lang").collect()
+    rows = suites.withColumn("name", xml_escape("lang")).orderBy(by_name("lang")).collect()
     out = ["<?xml version='1.0' encoding='UTF-8'?>", f'<testsuites name="{TOOL}" tests="{sum(r.tests for r in rows)}" failures="{sum(r.failures for r in rows)}">']
     out += [f'  <testsuite name="{r.name}" tests="{r.tests}" failures="{r.failures}">\n{r.cases}\n  </testsuite>' for r in rows]
     return "\n".join([*out, "</testsuites>", ""])
@@ -109,19 +119,14 @@ def write_translations(entries: DataFrame, folder: str, *, nested: bool = False)
     by = ["lang", "ns"] if nested else ["lang"]
     for r in unflatten(entries, *by).toLocalIterator():
         path = os.path.join(folder, r.lang, f"{r.ns}.json") if nested else os.path.join(folder, f"{r.lang}.json")
-        _write(path, r.json + ("" if nested else "\n"))
+        fs.write_text(entries.sparkSession, path, r.json + ("" if nested else "\n"))
 
 
 def write_locks(locks: DataFrame, path: str) -> None:
     rows = locks.withColumn("id", lock_id("lang", "ns", "path")).orderBy("id").toLocalIterator()
-    _write(path, json.dumps({"version": 1, "locked": {r.id: {"sourceHash": r.source_hash, "translationHash": r.translation_hash} for r in rows}}, ensure_ascii=False, indent=2) + "\n")
+    fs.write_text(locks.sparkSession, path, json.dumps({"version": 1, "locked": {r.id: {"sourceHash": r.source_hash, "translationHash": r.translation_hash} for r in rows}}, ensure_ascii=False, indent=2) + "\n")
 
 
 def write_cache(verdicts: DataFrame, path: str) -> None:
-    _write(path, json.dumps({r.pair_hash: {"category": r.category, "note": r.note} for r in verdicts.orderBy("pair_hash").toLocalIterator()}, ensure_ascii=False, indent=2) + "\n")
-
+    fs.write_text(verdicts.sparkSession, path, json.dumps({r.pair_hash: {"category": r.category, "note": r.note} for r in verdicts.orderBy("pair_hash").toLocalIterator()}, ensure_ascii=False, indent=2) + "\n")
 
-def _write(path: str, text: str) -> None:
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)

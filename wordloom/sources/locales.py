@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.nested import flat, flatten_json, typed
+from .. import files as fs
+from ..functions.nested import flat, flatten_json, json_fault, typed
 from ..functions.text import LOCALE
+from ..operators.checks import in_each
 from ..schema import FINDING_COLUMNS
 
 FLAT_NS = "translation"
@@ -76,7 +78,7 @@ def _texts(spark: SparkSession, files: DataFrame) -> DataFrame:
 
 def missing_files(files: DataFrame) -> DataFrame:
     """A finding for each source namespace that a language has no file for."""
-    want = files.where("is_source").select("ns").distinct().crossJoin(F.broadcast(files.where("NOT is_source").select("lang").distinct()))
+    want = in_each(files.where("is_source").select("ns").distinct(), files.where("NOT is_source").select("lang"))
     lost = want.join(files.where("NOT is_source").select("lang", "ns"), ["lang", "ns"], "left_anti")
     message = F.concat(F.lit("file missing: "), "lang", F.lit("/"), "ns", F.lit(".json"))
     return _findings(lost.withColumn("path", F.col("ns")), "missing-file", "error", message)
@@ -109,13 +111,14 @@ def read_tree(spark: SparkSession, path: str, source_lang: str = "en") -> Tree:
 
 def _tree(spark: SparkSession, layout: str, source_lang: str, texts: DataFrame) -> Tree:
     held = texts.withColumn("leaves", flatten_json("text")).withColumn("status", F.when(F.col("leaves").isNull(), "invalid").otherwise("ok"))
-    if broken := held.where("is_source AND status = 'invalid'").select("path").take(1):
-        raise UsageError(f"the source file {broken[0].path} is not valid JSON")
+    broken = texts.where("NOT is_source").withColumn("fault", json_fault("text")).where("fault IS NOT NULL")
+    if bad := held.where("is_source AND status = 'invalid'").select("path").take(1):
+        raise UsageError(f"the source file {bad[0].path} is not valid JSON")
     files = held.select("lang", "ns", F.col("rel").alias("file"), "is_source", "status", F.coalesce(F.size("leaves"), F.lit(0)).alias("keys"))
     entries = held.select("lang", "ns", "is_source", F.explode("leaves").alias("leaf")).select("lang", "ns", "is_source", "leaf.*")
     source_ns = files.where("is_source").select("ns")
-    invalid = files.where("NOT is_source AND status = 'invalid'").join(source_ns, "ns", "left_semi").withColumn("path", F.col("ns"))
-    findings = _findings(invalid, "invalid-json", "error", F.lit("invalid JSON")).unionByName(missing_files(files))
+    invalid = broken.select("lang", "ns", "fault").join(source_ns, "ns", "left_semi").withColumn("path", F.col("ns"))
+    findings = _findings(invalid, "invalid-json", "error", F.concat(F.lit("invalid JSON: "), "fault")).unionByName(missing_files(files))
     return Tree(layout, source_lang, files, entries.where("is_source").drop("lang", "is_source"), entries.where("NOT is_source").drop("is_source").join(source_ns, "ns", "left_semi"), findings)
 
 
@@ -221,9 +224,9 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     """Terms from a JSON file; a broken one is a UsageError."""
     from ..operators.glossary import glossary
 
-    text = spark.read.text(path, wholetext=True).first()
+    text = fs.read_text(spark, path)
     try:
-        return glossary(spark, json.loads(text.value if text else ""))
+        return glossary(spark, json.loads(text or ""))
     except (ValueError, AttributeError) as e:
         raise UsageError(f"the glossary {path} can't be read") from e
 
@@ -233,7 +236,7 @@ def read_locks(spark: SparkSession, path: str) -> DataFrame:
     from ..schema import LOCK
 
     rows = []
-    held = _tolerant(path)
+    held = _tolerant(spark, path)
     if isinstance(held, dict) and held.get("version") == 1 and isinstance(held.get("locked"), dict):
         for key, entry in held["locked"].items():
             parts = key.split("::", 2)
@@ -246,14 +249,13 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """Verdicts from ``{hash: {"category": ..., "note": ...}}``; none if it is absent or broken."""
     from ..schema import VERDICT
 
-    held = _tolerant(path)
+    held = _tolerant(spark, path)
     rows = [(k, v.get("category"), v.get("note")) for k, v in held.items() if isinstance(v, dict)] if isinstance(held, dict) else []
     return spark.createDataFrame(rows, VERDICT)
 
 
-def _tolerant(path: str) -> Any:
+def _tolerant(spark: SparkSession, path: str) -> Any:
     try:
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
-    except (OSError, ValueError):
+        return json.loads(fs.read_text(spark, path) or "")
+    except ValueError:
         return None
