@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from wordloom.llm.minhash import _STEP, UnionFind, components, duplicates, keep_one, near_groups, shingles, signatures
+from wordloom.llm.minhash import _STEP, UnionFind, blocks, components, duplicates, keep_one, near_groups, shingles, signatures
 from wordloom.llm.words import mix, split
 
 
@@ -206,3 +206,38 @@ def test_repeated_and_dropped_rows_stay_in_place(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     kept = keep_one(docs)
     assert sorted(r.doc_id for r in kept.collect()) == [*range(7), *range(100, 150)]
+
+
+def test_blocks_bring_any_two_together(spark):
+    """Whatever the size of a bucket: every two of its rows share a group in which they may be compared, once, and groups are small."""
+    rows = [(b, 1000 * b + k * k, n) for b, n in ((1, 1), (2, 7), (3, 40)) for k in range(n)]
+    held = blocks(spark.createDataFrame(rows, "bucket long, node long, n long"), 5).collect()
+    groups = collections.defaultdict(list)
+    for r in held:
+        groups[r.pair].append((r.node, r.side))
+    met = collections.Counter(frozenset((a, b)) for g in groups.values() for k, (a, s) in enumerate(g) for b, t in g[:k] if s is None or s != t)
+    want = {frozenset((a, b)) for x, a, _ in rows for y, b, _ in rows if x == y and a != b}
+    assert set(met) == want and set(met.values()) == {1} and max(map(len, groups.values())) < 30
+
+
+def test_split_buckets_give_the_same_groups(spark):
+    """Documents with a long passage in common, in groups of near copies: as many groups with blocks of three rows as of thousands."""
+    rng = random.Random(6)
+    passage = " ".join(rng.choice(WORDS) for _ in range(110))
+    rows = []
+    for g in range(12):
+        own = [rng.choice(WORDS) for _ in range(90)]
+        for k in range(5):
+            w = list(own)
+            w[rng.randrange(90)] = f"x{g}y{k}"
+            rows.append((10 * g + k, passage + " " + " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = {d: shingle_set(t) for d, t in rows}
+    true = UnionFind()
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if jaccard(x, y) >= 0.5:
+                true.union(a, b)
+    for block in (3, 4096):
+        got = {r.doc_id: r.group_id for r in duplicates(docs, block=block).collect()}
+        assert got == {d: true.find(d) for d, _ in rows}

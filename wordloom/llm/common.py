@@ -71,7 +71,7 @@ def perhaps(df: DataFrame, column: str, keys: DataFrame, *, among: bool, marks:
     Hashes are put into ``marks`` classes, and the classes that occur are sent to all, so a row is judged where it is read. The fewer
     the keys, the fewer rows pass by chance; with more keys than classes most do, and nothing but the saving is lost.
     """
-    of = F.pmod(column, F.lit(marks).cast("bigint"))
+    of = F.pmod(F.xxhash64(column), F.lit(marks).cast("bigint"))
     held = keys.select(of.alias("__mark")).distinct()
     return df.withColumn("__mark", of).join(F.broadcast(held), "__mark", "left_semi" if among else "left_anti").drop("__mark")
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, numbered, perhaps, place, plain, slices
@@ -176,23 +176,40 @@ class UnionFind:
 
 
 _MAYBE = pa.schema([*_LINK, ("sure", pa.bool_())])
+#: About how many rows of a bucket are compared with each other in one group; a larger bucket is split.
+BLOCK = 4096
+
+
+def blocks(rows: DataFrame, most: int = BLOCK) -> DataFrame:
+    """Rows of buckets (``bucket``, ``node``, ``n``: the bucket's rows) in groups of about ``2 * most`` rows at most, so that any two of a bucket meet in one.
+
+    A bucket is cut into blocks by its nodes, and a group holds one block, or two. ``pair`` names the group, ``side`` says which of two blocks a row is
+    of, and is null where the group is one block.
+    """
+    count = F.greatest(F.lit(1), F.ceil(F.col("n") / most).cast("int"))
+    held = rows.withColumn("__of", F.pmod(F.xxhash64("node"), count.cast("bigint")).cast("int")).withColumn("__with", F.explode(F.sequence(F.lit(0), count - 1)))
+    low, high = F.least("__of", "__with"), F.greatest("__of", "__with")
+    side = F.when(low != high, F.col("__of") == high)
+    return held.withColumns({"pair": F.xxhash64("bucket", low, high), "side": side}).drop("__of", "__with", "n")
 
 
 def _rest(sure: float, maybe: float):
-    """Links, sure and possible, between what is still apart in a bucket. Rows come sorted by bucket."""
+    """Links, sure and possible, between what is still apart in a group of ``blocks``. Rows come sorted by ``pair``."""
 
-    def of(nodes: np.ndarray, groups: np.ndarray, sig: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    def of(nodes: np.ndarray, groups: np.ndarray, sig: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[int, int, bool]]:
         sets = UnionFind()
         doubt = []
         for k in range(1, len(nodes)):
-            for start in range(0, k, 4096):
-                stop = min(k, start + 4096)
-                alike = _similar(sig[start:stop], sig[k])
-                for h in np.flatnonzero((groups[start:stop] != groups[k]) & (alike >= maybe)).tolist():
-                    if alike[h] < sure:
-                        doubt.append((start + h, k))
-                    elif sets.union(int(groups[start + h]), int(groups[k])):
-                        yield int(nodes[start + h]), int(nodes[k]), True
+            other = groups[:k] != groups[k]
+            if side is not None:
+                other &= side[:k] != side[k]
+            at = np.flatnonzero(other)
+            alike = _similar(sig[at], sig[k])
+            for h, likeness in zip(at[alike >= maybe].tolist(), alike[alike >= maybe].tolist(), strict=True):
+                if likeness < sure:
+                    doubt.append((h, k))
+                elif sets.union(int(groups[h]), int(groups[k])):
+                    yield int(nodes[h]), int(nodes[k]), True
         for h, k in doubt:
             if sets.find(int(groups[h])) != sets.find(int(groups[k])):
                 yield int(nodes[h]), int(nodes[k]), False
@@ -203,15 +220,16 @@ def _rest(sure: float, maybe: float):
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             held.clear()
-            links = list(of(t["node"].to_numpy(), t["grp"].to_numpy(), _lanes(t["sig"])))
+            side = None if t["side"].null_count else t["side"].to_numpy(zero_copy_only=False).astype(bool)
+            links = list(of(t["node"].to_numpy(), t["grp"].to_numpy(), _lanes(t["sig"]), side))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], f.type) for k, f in enumerate(_MAYBE)], schema=_MAYBE)
 
         for batch in batches:
-            buckets = batch.column("bucket").to_numpy()
-            edges = [0, *(np.flatnonzero(buckets[1:] != buckets[:-1]) + 1).tolist(), len(buckets)]
+            pairs = batch.column("pair").to_numpy()
+            edges = [0, *(np.flatnonzero(pairs[1:] != pairs[:-1]) + 1).tolist(), len(pairs)]
             for a, b in zip(edges, edges[1:], strict=False):
                 if a < b:
-                    if held and held[0].column("bucket")[0].as_py() != buckets[a]:
+                    if held and held[0].column("pair")[0].as_py() != pairs[a]:
                         yield flush()
                     held.append(batch.slice(a, b - a))
         if held:
@@ -233,7 +251,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root``, the least node of its component, for every node of the links ``a``, ``b`` that is no root.
 
-    Union-find makes stars of each partition's links; large-star and small-star steps join them until nothing changes.
+    Union-find makes stars of each partition's links; large-star and small-star steps join them until nothing changes. A node's least neighbour is
+    aggregated before the shuffle and joined, so that a node with a third of all links isn't one task's.
     """
     links = links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     now = cut(links.mapInArrow(_forest, "a bigint, b bigint").distinct())
@@ -244,9 +263,9 @@ def components(links: DataFrame) -> DataFrame:
     before = state(now)
     while before[0]:
         both = now.union(now.select("b", "a"))
-        near = Window.partitionBy("a")
-        large = both.withColumn("m", F.least("a", F.min("b").over(near))).where("b > a").select(F.col("m").alias("a"), "b").distinct()
-        low = large.where("a != b").withColumn("m", F.min("a").over(Window.partitionBy("b")))
+        near = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = cut(both.where("b > a").join(near, "a").where("m != b").select(F.col("m").alias("a"), "b").distinct())
+        low = large.join(large.groupBy("b").agg(F.min("a").alias("m")), "b")
         small = low.select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         now = cut(small)
         if (after := state(now)) == before:
@@ -255,13 +274,13 @@ def components(links: DataFrame) -> DataFrame:
     return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, size: int = SIZE, rows: int = ROWS) -> DataFrame:
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, size: int = SIZE, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row for each row of ``docs``: ``id``, ``row_key``, ``grp``, ``group_id``, ``group_rows``.
 
     Two texts are near copies if the Jaccard similarity of their sets of ``shingle``-word runs, in lower case, composed (NFC) and without
     punctuation of any script, is at least ``threshold``; in scripts without spaces each character is a word. ``size`` SuperMinHash lanes estimate it (standard error 0.04 at 0.5, less for short texts); where
     the estimate is within ``MARGIN`` of the threshold, the sets themselves are compared. Texts that agree on ``rows`` lanes of a band are compared: in each bucket all with one of them, then, where
-    a bucket still holds more than one group, every pair from different groups. Groups are the connected components.
+    a bucket still holds more than one group, every pair from different groups, in groups of about ``2 * block`` rows. Groups are the connected components.
     ``group_id`` is the least id of a group, ``group_rows`` its number of rows.
 
     Texts with the same words are one node from the start, however many they are. Null texts and those without words
@@ -274,8 +293,9 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     nodes = cut(sketch.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig")))
     bands = F.transform(F.sequence(F.lit(0), F.lit(size // rows - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * rows) + 1, F.lit(2 * rows))))
     bucket = nodes.select("node", F.explode(bands).alias("bucket"))
-    stars = Window.partitionBy("bucket")
-    shared = cut(bucket.withColumn("centre", F.min("node").over(stars)).withColumn("n", F.count("*").over(stars)).where("n > 1").drop("n"))
+    # Aggregated before the shuffle and joined, so that a bucket with a third of all nodes isn't one task's.
+    full = bucket.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    shared = cut(bucket.join(full.select("bucket", "centre"), "bucket"))
     pairs = shared.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     # Most nodes share no bucket: their signatures stay where they are.
     some = perhaps(nodes, "node", shared.select("node"), among=True)
@@ -283,10 +303,10 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     first = cut(pairs.join(sig_b, "b").join(sig_a, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(_verify(threshold + MARGIN), "a bigint, b bigint"))
     roots = cut(components(first))
     grouped = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("grp"))
-    mixed = grouped.groupBy("bucket").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x != y").select("bucket")
-    open_ = cut(grouped.join(mixed, "bucket", "left_semi").select("bucket", "node", "grp"))
-    rest = open_.join(perhaps(nodes, "node", open_.select("node"), among=True), "node").select("bucket", "node", "grp", "sig")
-    ordered = rest.repartition("bucket").sortWithinPartitions("bucket", "node")
+    mixed = grouped.groupBy("bucket").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count("*").alias("n")).where("x != y").select("bucket", "n")
+    open_ = cut(grouped.join(mixed, "bucket").select("bucket", "node", "grp", "n"))
+    rest = blocks(open_, block).join(perhaps(nodes, "node", open_.select("node"), among=True), "node").select("pair", "side", "node", "grp", "sig")
+    ordered = rest.repartition("pair").sortWithinPartitions("pair", "node")
     more = cut(ordered.mapInArrow(_rest(threshold + MARGIN, threshold - MARGIN), "a bigint, b bigint, sure boolean"))
     sure = cut(components(first.union(more.where("sure").select("a", "b"))))
     # Of the pairs in doubt only those count that nothing surer has put together.
