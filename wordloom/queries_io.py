@@ -306,7 +306,7 @@ def substantive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_pairs(_pairs(spark, sf_dir)).select("lang", "ns", "path", is_substantive("source", "translation").alias("substantive"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, NULL AS other, '{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || ',\"a\":{\"b\":\"' || event_type || '\"}}' AS changed FROM events")
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, CAST(NULL AS VARCHAR) AS other, '{\"k\":' || CAST(json_extract(props, '$.k') AS VARCHAR) || ',\"a\":{\"b\":\"' || event_type || '\"}}' AS changed FROM events")
 def nested_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies at a path of a JSON text, and the text with something put at another."""
     none = json_at("props", F.lit("k.x"))
