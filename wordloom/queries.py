@@ -489,8 +489,11 @@ UNION ALL SELECT l_orderkey, 'lines.' || i || '.qty', CAST(l_quantity AS VARCHAR
 UNION ALL SELECT l_orderkey, 'lines.' || i || '.flag', l_returnflag, 'string' FROM ({_LINES}) l JOIN orders ON l_orderkey = o_orderkey) x
 UNION ALL SELECT o_orderkey, 'price.total', NULL, 'number', CAST(round(o_totalprice * 100) AS BIGINT) FROM orders""")
 def flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # How a price is written differs between engines, so it is compared in cents.
-    out = flatten(_order_json(spark, sf_dir), "doc", "o_orderkey")
+    return _in_cents(flatten(_order_json(spark, sf_dir), "doc", "o_orderkey"))
+
+
+def _in_cents(out: DataFrame) -> DataFrame:
+    """How a price is written differs between engines, so it is compared in cents."""
     price = F.col("path") == "price.total"
     return out.withColumns({"cents": F.when(price, F.round(F.col("value").cast("double") * 100).cast("bigint")), "value": F.when(~price, F.col("value"))})
 
@@ -500,6 +503,12 @@ def unflatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unflatten(flatten(_order_json(spark, sf_dir), "doc", "o_orderkey"), "o_orderkey")
 
 
+@query(_SQL["flatten_json"])
+def unflatten_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken apart, put together, and taken apart again."""
+    return _in_cents(flatten(unflatten_json(spark, sf_dir), "json", "o_orderkey"))
+
+
 _REL = "regexp_extract(url, '/(en|fr|de|es)/([0-9]+)', 1) || '/' || regexp_extract(url, '/(en|fr|de|es)/([0-9]+)', 2)"
 
 
