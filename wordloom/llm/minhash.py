@@ -146,7 +146,9 @@ def exact(pairs: DataFrame, source: DataFrame, sketch: DataFrame, threshold: flo
     """
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     rows = cut(sketch.join(nodes, "node").groupBy("node").agg(F.min("row_key").alias("row_key")))
-    texts = perhaps(source, "row_key", rows, among=True).join(rows, "row_key").dropDuplicates(["node"]).select("node", "text")
+    # A row that is repeated goes to the join once from each task that reads it.
+    once = perhaps(source, "row_key", rows, among=True).groupBy("row_key").agg(F.first("text").alias("text"))
+    texts = once.join(rows, "row_key").select("node", "text")
     sets = cut(texts.mapInArrow(_sets(width), "node bigint, shingles array<bigint>"))
     a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -343,5 +345,5 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     out = perhaps(keyed, "__key", gone, among=False).unionByName(perhaps(keyed, "__key", gone, among=True).join(gone, "__key", "left_anti"))
     repeated = keys.where("__stays AND n > 1").select("__key")
     if not repeated.isEmpty():
-        out = out.unionByName(perhaps(keyed, "__key", repeated, among=True).join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
+        out = out.unionByName(perhaps(keyed, "__key", repeated, among=True).dropDuplicates(["__key"]).join(repeated, "__key", "left_semi"))
     return out.drop("__key").toDF(*docs.columns)
