@@ -32,7 +32,7 @@ def merge_locks(old: DataFrame | None, new: DataFrame) -> DataFrame:
 
 def lock_findings(pairs: DataFrame, locks: DataFrame) -> DataFrame:
     """A changed translation comes before a changed source, since work is already lost."""
-    held = pairs.join(locks, ["lang", "ns", "path"])
+    held = pairs.join(locks.hint("merge"), ["lang", "ns", "path"])  # locks grow with the pairs
     kind = F.when(F.col("translation_hash") != short_hash("translation"), "manual-translation-clobbered").when(F.col("source_hash") != short_hash("source"), "manual-translation-stale")
     out = held.withColumn("type", kind).where("type IS NOT NULL")
     message = F.when(F.col("type") == "manual-translation-clobbered", CLOBBERED).otherwise(STALE)
