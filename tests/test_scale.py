@@ -14,3 +14,31 @@ def test_entries_are_not_sent_to_all(spark, sf_dir, name):
     for k in sent:
         below = next((i for i in range(k + 1, len(plan)) if depth(i) <= depth(k)), len(plan))
         assert not any("FileScan" in line for line in plan[k:below]), "\n".join(line[:120] for line in plan[k:below])
+
+
+def test_documents_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    """Locks and trees are written, and locks read, without a text in the driver; odd names and texts come back as they were."""
+    from wordloom import files as fs
+    from wordloom.schema import LOCK
+    from wordloom.sinks import reports
+    from wordloom.sources.locales import read_locks
+
+    rows = [("es", "n", f'a"b\\{k}\n é\u0001::x', None if k % 7 == 0 else f"h{k}", f'",\n    }}{k}') for k in range(500)]
+    locks = spark.createDataFrame(rows, LOCK)
+    path = str(tmp_path / "locks.json")
+    real = fs.read_text
+    monkeypatch.setattr(fs, "read_text", lambda *a: pytest.fail("read in the driver"))
+    monkeypatch.setattr(fs, "write_text", lambda *a: pytest.fail("written in the driver"))
+    reports.write_locks(locks, path)
+    assert sorted(map(tuple, read_locks(spark, path).collect()), key=str) == sorted(rows, key=str)
+    entries = [(lang, "a b%#ü", "k.x", f"{lang} text", "string") for lang in ("es", "pt-BR")]
+    for nested in (True, False):
+        reports.write_translations(spark.createDataFrame(entries, "lang string, ns string, path string, value string, vtype string"), str(tmp_path / "out"), nested=nested)
+    assert (tmp_path / "out/es/a b%#ü.json").read_text() == '{\n  "k": {\n    "x": "es text"\n  }\n}'
+    assert (tmp_path / "out/pt-BR.json").read_text() == '{\n  "k": {\n    "x": "pt-BR text"\n  }\n}\n'
+    monkeypatch.setattr(fs, "read_text", real)
+    text = (tmp_path / "locks.json").read_text()
+    (tmp_path / "twice.json").write_text(text.replace("a\\\"b\\\\1\\n", "a\\\"b\\\\2\\n"))  # a repeated id: the last counts, as in any JSON
+    assert read_locks(spark, str(tmp_path / "twice.json")).count() == 499
+    (tmp_path / "cut.json").write_text(text[:-20])
+    assert read_locks(spark, str(tmp_path / "cut.json")).count() == 0
