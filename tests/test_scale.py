@@ -42,3 +42,12 @@ def test_documents_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
     assert read_locks(spark, str(tmp_path / "twice.json")).count() == 499
     (tmp_path / "cut.json").write_text(text[:-20])
     assert read_locks(spark, str(tmp_path / "cut.json")).count() == 0
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_a_tree_is_found_under_each_spelling_of_its_path(spark, tmp_path, scheme):
+    from wordloom.sources.locales import _names
+
+    (tmp_path / "en").mkdir()
+    (tmp_path / "en/a.json").write_text("{}")
+    assert [r.rel for r in _names(spark, f"{scheme}{tmp_path}").collect()] == ["en/a.json"]
