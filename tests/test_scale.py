@@ -1,5 +1,7 @@
 """What large tables need: plans and files that don't grow in one place."""
 
+import json
+
 import pytest
 
 from wordloom import queries as core
@@ -51,3 +53,45 @@ def test_a_tree_is_found_under_each_spelling_of_its_path(spark, tmp_path, scheme
     (tmp_path / "en").mkdir()
     (tmp_path / "en/a.json").write_text("{}")
     assert [r.rel for r in _names(spark, f"{scheme}{tmp_path}").collect()] == ["en/a.json"]
+
+
+def _rows(tree):
+    return sorted((tuple(r) for df in (tree.files, tree.source, tree.target, tree.findings) for r in df.collect()), key=str)
+
+
+def test_a_string_catalog_is_written_and_read_in_pieces(spark, tmp_path, monkeypatch):
+    """No process holds the catalog; what is read is what the parser finds in the text as a whole, also where keys are repeated or the layout is another."""
+    from wordloom import files as fs
+    from wordloom.sinks import reports
+    from wordloom.sources import locales
+
+    unit = lambda v, s="translated": {"stringUnit": {"state": s, "value": v}}
+    entry = lambda k: {} if k % 9 == 0 else {"localizations": {"en": unit(f'a\n    }},\n"{k}'), ("es", "pt-BR")[k % 2]: unit(f"b {k}", ("new", "stale", "translated")[k % 3])}}
+    every = {f'k"\\\n é{k}': entry(k) for k in range(400)}
+    path = str(tmp_path / "App.xcstrings")
+    with monkeypatch.context() as m:
+        for name in ("read_text", "write_text"):
+            m.setattr(fs, name, lambda *a: pytest.fail("in the driver"))
+        m.setattr(locales, "parse_catalog", lambda t: pytest.fail("as a whole"))
+        reports.write_catalog(spark.createDataFrame([(k, json.dumps(e)) for k, e in every.items()], "key string, entry string").repartition(3), path)
+        laid = _rows(locales.read_tree(spark, path))
+    text = (tmp_path / "App.xcstrings").read_text()
+    assert json.loads(text) == {"sourceLanguage": "en", "strings": every, "version": "1.0"}
+    assert locales._laid_catalog(spark, path) is not None
+
+    def put(folder, text):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "App.xcstrings").write_text(text)
+        return str(tmp_path / folder / "App.xcstrings")
+
+    path = put("one line", json.dumps(json.loads(text)))
+    assert locales._laid_catalog(spark, path) is None and _rows(locales.read_tree(spark, path)) == laid
+    path = put("twice", text.replace("é11\" :", "é10\" :"))
+    assert locales._laid_catalog(spark, path) is None and locales.read_tree(spark, path).source.count() == 399
+    path = put("broken", text.replace('"stringUnit"', '"stringUnit', 1))
+    with pytest.raises(locales.UsageError):
+        locales.read_tree(spark, path)
+    xcode = '{\n  "sourceLanguage" : "de",\n  "strings" : {\n    "" : {\n\n    },\n    "x" : {\n      "localizations" : {\n        "fr" : {\n          "stringUnit" : {\n            "state" : "translated",\n            "value" : "y"\n          }\n        }\n      }\n    }\n  },\n  "version" : "1.0"\n}'
+    path = put("xcode", xcode)
+    tree = locales.read_tree(spark, path)
+    assert locales._laid_catalog(spark, path) is not None and [tuple(r)[2:4] for r in tree.target.collect()] == [("x", "y")] and sorted(r.path for r in tree.source.collect()) == ["", "x"]
