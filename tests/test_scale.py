@@ -130,3 +130,24 @@ def test_reports_are_written_and_read_in_pieces(spark, tmp_path, monkeypatch):
         assert held == said
         got = [x.result.asDict(True) for x in results.orderBy("place").collect()]
         assert got == sarif["runs"][0]["results"] and around["runs"][0]["tool"] == sarif["runs"][0]["tool"]
+
+
+def test_groups_are_put_together_across_batches(spark):
+    """No array of a group's entries is made; groups may end in any batch, and null is a group of its own."""
+    from wordloom.functions.nested import nest, unflatten
+
+    rows = [(None if g == 3 else g, None if h == 0 else f"h{h}", f"a{k % 2}.k{k}", f"{g} {h} {k}" if k else None, "string" if k % 3 else "object" if not k else "string") for g in range(7) for h in range(3) for k in range(g * 5 % 13 + 1)]
+    entries = spark.createDataFrame(rows, "g long, h string, path string, value string, vtype string").repartition(3)
+    assert "collect_list" not in unflatten(entries, "g", "h")._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for g, h, path, value, _ in sorted(rows, key=lambda r: r[2]):
+        want.setdefault((g, h), {})[path] = value
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("1", "2", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            got = [((r.g, r.h), json.loads(r.json)) for r in unflatten(entries, "g", "h").collect()]
+            assert len(got) == len(want) and dict(got) == {k: nest(v) for k, v in want.items()}, n
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert unflatten(entries.limit(0), "g").collect() == []
