@@ -151,3 +151,9 @@ def test_groups_are_put_together_across_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert unflatten(entries.limit(0), "g").collect() == []
+
+
+def test_a_review_reads_findings_and_pairs_once(spark, sf_dir):
+    """What is read several times is written before; joins of all entries aren't made again for each reader."""
+    plan = core.queries()["semantic_run"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert " parquet" not in plan, plan
