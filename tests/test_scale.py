@@ -157,3 +157,44 @@ def test_a_review_reads_findings_and_pairs_once(spark, sf_dir):
     """What is read several times is written before; joins of all entries aren't made again for each reader."""
     plan = core.queries()["semantic_run"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert " parquet" not in plan, plan
+
+
+@pytest.mark.parametrize("name", ["build_entries", "fallback_fill", "translated_texts", "verification", "topmost_missing"])
+def test_entries_to_translate_are_merged(spark, sf_dir, name):
+    """Only lists of languages are sent to all, whatever the optimiser thinks of the size of entries."""
+    plan = core.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("Subquery:")[0].split("\n")
+    first = next(k for k, line in enumerate(plan) if "SortMergeJoin" in line)
+    joins = [line for line in plan[first:] if "Join " in line and "lang#" in line and ("path#" in line or "prefix#" in line)]
+    assert joins and all("SortMergeJoin" in line for line in joins), "\n".join(line[:160] for line in joins)
+
+
+def test_a_build_asks_once_for_each_text(spark, tmp_path):
+    """Files are read and texts translated once, though both are needed several times."""
+    from wordloom.plans.build import build
+
+    asked = str(tmp_path / "asked")
+
+    def shout(texts, lang):
+        with open(asked, "a") as f:
+            f.writelines(f"{lang} {t}\n" for t in texts)
+        return [f"{t.upper()} {lang}" for t in texts]
+
+    files = spark.createDataFrame([("a", json.dumps({"k": {f"x{k}": f"text {k}" for k in range(90)}})), ("b", '{"y": "one", "z": ["two", null, 3]}'), ("none", "{}"), ("broken", "{")], "ns string, text string")
+    got = build(spark, files, ["pt-BR", "de"], shout).collect()
+    assert len(got) == 3 * 94 and {(r.path if r.value is None else "", r.origin) for r in got} == {("", "own"), ("z.1", "source")}
+    lines = (tmp_path / "asked").read_text().splitlines()
+    assert len(lines) == len(set(lines)) == 3 * 92
+
+
+def test_leaves_of_a_long_text_come_in_batches(spark):
+    import pyarrow as pa
+
+    from wordloom.functions.nested import _leaf_rows, flatten, flatten_files
+
+    texts = [json.dumps({f"k{k}": [k, None, f"t{k}", {"x": True}] for k in range(n)}) for n in (0, 1, 60, 3)]
+    rows = [(n, t) for n, t in enumerate([*texts, None, "{", "\ufeff" + texts[1], "[1]"])]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert sorted(map(str, flatten_files(df, "text", "id").collect())) == sorted(map(str, flatten(df, "text", "id").collect()))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["id", "text"])
+    held = list(_leaf_rows(1, iter([batch]), 7))
+    assert {len(b) for b in held[:-1]} == {7} and sum(map(len, held)) == flatten(df, "text", "id").count()

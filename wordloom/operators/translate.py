@@ -25,7 +25,7 @@ def partition_work(source: DataFrame, existing: DataFrame | None, langs: DataFra
     if existing is None:
         held = s.withColumns({"old": F.lit(None).cast("string"), "old_type": F.lit(None).cast("string")})
     else:
-        held = s.join(existing.select(*KEY, F.col("value").alias("old"), F.col("vtype").alias("old_type")), KEY, "left")
+        held = s.join(existing.select(*KEY, F.col("value").alias("old"), F.col("vtype").alias("old_type")).hint("merge"), KEY, "left")
     usable = F.col("old").isNotNull() & ~((F.col("old_type") == "string") & (F.col("old") == ""))
     action = F.when(F.col("vtype") != "string", "pass").when(usable, "reuse").otherwise("translate")
     return held.select(*KEY, "value", "vtype", action.alias("action"), F.when(action == "pass", F.col("value")).when(action == "reuse", F.col("old")).alias("result"))
@@ -66,29 +66,36 @@ def translate(work: DataFrame, translator: Callable[[list[str], str], list[str]]
     """
     names = [f.name for f in work.schema.fields]
     types = ", ".join(f"`{n}` {t}" for n, t in work.dtypes)
+    lang_at, value_at, result_at = map(names.index, ("lang", "value", "result"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[dict]] = {}
+        held: dict[str, list[tuple]] = {}
 
-        def ask(lang: str, rows: list[dict]) -> pa.RecordBatch:
+        def ask(lang: str, rows: list[tuple]) -> list[tuple]:
             try:
-                out = translator([r["value"] for r in rows], lang)
+                out = translator([r[value_at] for r in rows], lang)
                 if len(out) != len(rows):
                     raise ValueError("the translator gave another number of texts")
             except Exception:
                 if not isolate:
                     raise
                 out = [None] * len(rows)
-            return pa.RecordBatch.from_pylist([r | {"result": t} for r, t in zip(rows, out, strict=True)], pa.schema([(n, pa.string()) for n in names]))
+            return [(*r[:result_at], t, *r[result_at + 1 :]) for r, t in zip(rows, out, strict=True)]
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
 
         for b in batches:
-            for r in b.to_pylist():
-                rows = held.setdefault(r["lang"], [])
+            done: list[tuple] = []
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows = held.setdefault(r[lang_at], [])
                 rows.append(r)
                 if len(rows) == batch:
-                    yield ask(r["lang"], held.pop(r["lang"]))
+                    done += ask(r[lang_at], held.pop(r[lang_at]))
+            if done:
+                yield made(done)
         for lang, rows in held.items():
-            yield ask(lang, rows)
+            yield made(ask(lang, rows))
 
     return work.where("action != 'translate'").unionByName(work.where("action = 'translate'").mapInArrow(run, types))
 
@@ -133,10 +140,10 @@ def missing_keys(source: DataFrame, target: DataFrame, langs: DataFrame) -> Data
     unit = lambda p: F.when(first_number(p) > 1, F.array_join(F.slice(parts(p), F.lit(1), first_number(p).cast("int") - 1), ".")).otherwise(p)
     prefixes = lambda p: F.transform(F.sequence(F.lit(1), F.size(parts(p))), lambda k: F.array_join(F.slice(parts(p), F.lit(1), k), "."))
     want = in_each(source.select("ns", unit(F.col("path")).alias("path")).distinct(), langs.select("lang"))
-    have = usable.select("lang", "ns", F.explode(prefixes(F.col("path"))).alias("path")).distinct()
+    have = usable.select("lang", "ns", F.explode(prefixes(F.col("path"))).alias("path")).distinct().hint("merge")
     lost = want.join(have, KEY, "left_anti")
     above = lost.select(*KEY, F.posexplode(prefixes(F.col("path"))).alias("depth", "prefix"))
-    gone = above.join(have.withColumnRenamed("path", "prefix"), ["lang", "ns", "prefix"], "left_anti")
+    gone = above.join(have.withColumnRenamed("path", "prefix").hint("merge"), ["lang", "ns", "prefix"], "left_anti")
     return gone.groupBy(*KEY).agg(F.min_by("prefix", "depth").alias("top"))
 
 
@@ -145,10 +152,11 @@ def fill_from_fallbacks(source: DataFrame, target: DataFrame, targets: DataFrame
 
     A language without any entry takes all of its base language's, else the source's. One with entries has its gaps (null, empty or absent) filled,
     from the base language first. Without ``to_source`` gaps stay, and only whole languages are taken from their base.
+    Both joins stay merges, for the reason given at ``side_by_side``.
     """
     usable = target.where("value IS NOT NULL AND NOT (vtype = 'string' AND value = '')")
-    own = usable.select(*KEY, F.struct("value", "vtype").alias("own"))
-    base = usable.select(F.col("lang").alias("base"), "ns", "path", F.struct("value", "vtype").alias("base_value"))
+    own = usable.select(*KEY, F.struct("value", "vtype").alias("own")).hint("merge")
+    base = usable.select(F.col("lang").alias("base"), "ns", "path", F.struct("value", "vtype").alias("base_value")).hint("merge")
     full = target.select("lang").distinct().withColumn("has", F.lit(True))
     langs = targets.select("lang", F.col("base") if regional else F.lit(None).cast("string").alias("base")).join(full, "lang", "left")
     langs = langs.join(full.select(F.col("lang").alias("base"), F.lit(True).alias("base_has")), "base", "left")
@@ -217,7 +225,7 @@ def verify(source: DataFrame, target: DataFrame, langs: DataFrame, *, shortest:
 
     The bounds of the length ratio, for sources of at least ``least`` characters, are this engine's own.
     """
-    t = target.select(*KEY, F.col("value").alias("translation"))
+    t = target.select(*KEY, F.col("value").alias("translation")).hint("merge")
     pairs = in_each(source.where("vtype = 'string'").select("ns", "path", F.col("value").alias("source")), langs.select("lang")).join(t, KEY, "left")
     return verify_pairs(pairs, shortest=shortest, longest=longest, least=least)
 

@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..files import read_text
-from ..functions.nested import flat, flatten_json, nest, typed, untyped
+from ..files import read_text, shared_dir
+from ..functions.nested import flat, flatten_files, nest, typed, untyped
 from ..functions.text import content_key
 from ..operators.checks import in_each
 from ..operators.translate import changed_keys, fill_from_fallbacks, language_table, partition_work, regional_targets, split_skipped, translate, verify_pairs
@@ -30,12 +30,15 @@ def build(spark: SparkSession, files: DataFrame, targets: list[str], translator:
     """Entries of all pending files in all languages, and where each is from: lang, ns, path, value, vtype, origin.
 
     Base languages of regional ones are translated too. A file that isn't valid JSON has no entries; a batch that the translator fails on
-    is filled from the base language or the source.
+    is filled from the base language or the source. Entries and translations are written before use, since both are read several times and
+    a translator may answer otherwise the second time: the session needs a checkpoint folder.
     """
+    shared_dir(spark)
     langs = regional_targets(language_table(spark, targets), regional)
-    source = pending(files, cache, targets).select("ns", F.explode(flatten_json("text")).alias("leaf")).select("ns", "leaf.*")
+    # A file is read by one task; its entries are spread over all.
+    source = flatten_files(pending(files, cache, targets), "text", "ns").repartition("ns", "path").checkpoint()
     work = partition_work(source, None, langs.select("lang"))
-    made = translate(work, translator, isolate=True).where("result IS NOT NULL").select("lang", "ns", "path", F.col("result").alias("value"), "vtype")
+    made = translate(work, translator, isolate=True).where("result IS NOT NULL").select("lang", "ns", "path", F.col("result").alias("value"), "vtype").checkpoint()
     return fill_from_fallbacks(source, made, langs.select("lang", "base"), to_source=to_source, regional=regional)
 
 
