@@ -198,3 +198,19 @@ def test_leaves_of_a_long_text_come_in_batches(spark):
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["id", "text"])
     held = list(_leaf_rows(1, iter([batch]), 7))
     assert {len(b) for b in held[:-1]} == {7} and sum(map(len, held)) == flatten(df, "text", "id").count()
+
+
+@pytest.mark.parametrize("name", ["glossary_dnt", "glossary_locked", "glossary_summary", "full_check"])
+def test_words_are_not_shuffled(spark, sf_dir, name):
+    """All pairs with a frequent word would meet in one task."""
+    plan = core.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(token" not in plan and any("BroadcastHashJoin [token" in line for line in plan.split("\n"))
+
+
+def test_terms_without_a_word_are_sent_to_all(spark):
+    from wordloom.operators.glossary import glossary, term_pairs
+
+    pairs = spark.createDataFrame([("es", "n", "a", "a東京b", "y"), ("es", "n", "b", "tokyo", "y")], "lang string, ns string, path string, source string, translation string")
+    held = term_pairs(pairs, glossary(spark, {"東京": {"dnt": True}, "tokyo": {"dnt": True}}))
+    assert "CartesianProduct" not in held._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.term) for r in held.collect()} == {("a", "東京"), ("b", "tokyo")}

@@ -29,15 +29,16 @@ def term_pairs(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """Pairs with each term that occurs in their source, in any case.
 
     Both ends of a term lie on word boundaries, so its longest word is a whole word of the source: an equi join on words finds the
-    candidates, and only those run the term's expression. Terms without an ASCII word are tried on every pair.
+    candidates, and only those run the term's expression. Terms without an ASCII word are tried on every pair. The terms, which the
+    driver has made of a dictionary, are sent to all: shuffled by word, all pairs with a frequent one would meet in one task.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("source"), F.lit("[a-z0-9_]+"), F.lit(0)))
     worded = terms.where("token IS NOT NULL")
-    by_word = pairs.withColumn("token", F.explode(words)).join(worded, "token")
+    by_word = pairs.withColumn("token", F.explode(words)).join(F.broadcast(worded), "token")
     bare = terms.where("token IS NULL").drop("token")
     found = by_word.drop("token")
     if not bare.isEmpty():
-        found = found.unionByName(pairs.join(bare, F.expr("source RLIKE regex")))
+        found = found.unionByName(pairs.join(F.broadcast(bare), F.expr("source RLIKE regex")))
     return found.where(F.expr("source RLIKE regex"))
 
 
