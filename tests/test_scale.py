@@ -214,3 +214,16 @@ def test_terms_without_a_word_are_sent_to_all(spark):
     held = term_pairs(pairs, glossary(spark, {"東京": {"dnt": True}, "tokyo": {"dnt": True}}))
     assert "CartesianProduct" not in held._jdf.queryExecution().executedPlan().toString()
     assert {(r.path, r.term) for r in held.collect()} == {("a", "東京"), ("b", "tokyo")}
+
+
+@pytest.mark.parametrize("name", ["lock_build", "lock_clobbered", "lock_stale", "cache_antijoin"])
+def test_pairs_and_locks_are_merged_however_small_they_seem(spark, sf_dir, name):
+    """Also under a threshold that would let any table be sent to all."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+        plan = core.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    joins = [line for line in plan if "Join " in line and "path#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins), "\n".join(line[:160] for line in joins)
